@@ -51,8 +51,9 @@ def doc_key(col: str = "doc_id") -> F.Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
 
 
-def doc_id(col: str) -> F.Column:
-    return F.when(F.col(col) != NO_ID, F.col(col))
+def doc_id(col: str | F.Column) -> F.Column:
+    c = F.col(col) if isinstance(col, str) else col
+    return F.when(c != NO_ID, c)
 
 
 def as_bytes(column: pa.Array) -> list:

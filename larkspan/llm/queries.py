@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, suffixes, superkmer
+from . import embeddings, mixing, sharding, simhash, suffixes, superkmer
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(read(spark, sf_dir, "documents"), window=400)
 
 
+def op7_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.deduplicate(read(spark, sf_dir, "documents"), window=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_covering, op4_source_mixing, op5_suffix_dedup, op9_superkmer_dedup)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_covering, op4_source_mixing, op5_suffix_dedup, op7_rotation_codes, op9_superkmer_dedup)}
 
 #: Target: capped sources leave their excess to the others by weight, so target = least(limit, weight * level).
 OP4_SQL = r"""
