@@ -32,7 +32,7 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (5
     return {k: min(limit, weight * level) for _, limit, weight, k in rows}
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, rows_per_group: int = 50_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, rows_per_group: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (and the columns in keep) of every row of docs.
 
     Each source gives whole epochs of itself while its target allows, then the
