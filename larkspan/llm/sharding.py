@@ -102,7 +102,7 @@ def _after(x: float) -> float:
     return math.nextafter(x, math.inf)
 
 
-def shard(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("source", "lang", "n_chars", "doc_id"), rows_per_slot_group: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("source", "lang", "n_chars", "doc_id"), rows_per_slot_group: int = 4096) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row of docs.
 
     size is the text's UTF-8 bytes plus 16 (null text: 16). The tree takes
