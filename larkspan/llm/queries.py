@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, sharding, simhash, suffixes, superkmer
+from . import embeddings, mixing, quality, sharding, simhash, suffixes, superkmer
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,11 @@ def op9_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.deduplicate(read(spark, sf_dir, "documents"), window=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_covering, op4_source_mixing, op5_suffix_dedup, op7_rotation_codes, op9_superkmer_dedup)}
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_covering, op4_source_mixing, op5_suffix_dedup, op7_rotation_codes, op9_superkmer_dedup, op10_ordinal_quality)}
 
 #: Target: capped sources leave their excess to the others by weight, so target = least(limit, weight * level).
 OP4_SQL = r"""
