@@ -195,21 +195,21 @@ def _apply(model: Model, wanted: int, least: float):
                 score[i] = WORD_SCALE * float(sum(w[c] for c in sorted(core))) + SHAPE_SCALE * (shape + echo(words) * float(w[ECHO])) / (len(words) + EXTRA)
             tails = Model(w, t).tails(score)
             tails[empty] = 0.0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(1)), pa.array(tails[:, wanted - 1]), pa.array(tails[:, wanted - 1] >= least), *b.columns[2:]], names=["did", "expected_grade", "tail_probability", "selected", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(1)), pa.array(tails[:, wanted - 1]), pa.array(tails[:, wanted - 1] >= least), *b.columns[2:]], names=["did", "expected_grade", "tail_probability", "kept", *b.schema.names[2:]])
 
     return run
 
 
 def classify(docs: DataFrame, labels: DataFrame, wanted: int = 2, least: float = 0.5, keep: tuple[str, ...] = (), most: int = SAMPLE) -> DataFrame:
-    """doc_id, expected_grade, tail_probability, selected (and the columns in keep) of every row of docs.
+    """doc_id, expected_grade, tail_probability, kept (and the columns in keep) of every row of docs.
 
     Fitted on at most `most` labelled documents; all rows are graded over their
-    whole texts. tail_probability is P(grade >= wanted), selected where it is at
+    whole texts. tail_probability is P(grade >= wanted), kept where it is at
     least `least`. Texts without words, null ones too, have grade 0 and are not
     selected. Labels without a document, and with a null in them, do not count;
     repeated rows get the same grade; no rows give no rows.
     """
     model = fit(sample(docs, labels, most))
     kinds = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    out = docs.select(doc_key().alias("did"), F.col("text").alias("_t"), *keep).mapInArrow(_apply(model, wanted, least), "did long, expected_grade double, tail_probability double, selected boolean" + kinds)
-    return out.select(doc_id("did").alias("doc_id"), "expected_grade", "tail_probability", "selected", *[k for k in keep if k != "doc_id"])
+    out = docs.select(doc_key().alias("did"), F.col("text").alias("_t"), *keep).mapInArrow(_apply(model, wanted, least), "did long, expected_grade double, tail_probability double, kept boolean" + kinds)
+    return out.select(doc_id("did").alias("doc_id"), "expected_grade", "tail_probability", "kept", *[k for k in keep if k != "doc_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, quality, sharding, simhash, suffixes, superkmer
+from . import embeddings, mixing, ngrams, quality, sharding, simhash, suffixes, superkmer, templates, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngrams.score(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "backed_off", F.round("log_score", 6).alias("log_score"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -29,10 +34,20 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(read(spark, sf_dir, "documents"), window=400)
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op8_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op9_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.deduplicate(read(spark, sf_dir, "documents"), window=20)
 
@@ -41,7 +56,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_covering, op4_source_mixing, op5_suffix_dedup, op7_rotation_codes, op9_superkmer_dedup, op10_ordinal_quality)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_covering, op3_stupid_backoff, op4_source_mixing, op5_suffix_dedup, op6_template_decontamination, op7_rotation_codes, op8_rans_tokens, op9_superkmer_dedup, op10_ordinal_quality)}
 
 #: Target: capped sources leave their excess to the others by weight, so target = least(limit, weight * level).
 OP4_SQL = r"""
@@ -67,4 +82,18 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM o
 """
 
-SQL = {"op4_source_mixing": OP4_SQL}
+#: Bigrams seen once in the corpus are not in the model; their second word is scored by 0.4 times its share.
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS b, unnest(list_concat([NULL], ws[:-2])) AS a FROM w WHERE len(ws) > 0),
+c1 AS (SELECT b, count(*)::DOUBLE AS c FROM t GROUP BY b),
+n AS (SELECT sum(c) AS n FROM c1),
+c2 AS (SELECT a, b, count(*)::DOUBLE AS c FROM t WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+s AS (
+  SELECT r, CASE WHEN c2.c IS NOT NULL THEN ln(c2.c / h.c) WHEN t.a IS NULL THEN ln(u.c / n.n) ELSE ln(0.4::DOUBLE * u.c / n.n) END AS s, (c2.c IS NULL AND t.a IS NOT NULL)::BIGINT AS back
+  FROM t JOIN c1 u ON t.b = u.b LEFT JOIN c1 h ON t.a = h.b LEFT JOIN c2 ON t.a = c2.a AND t.b = c2.b, n)
+SELECT w.doc_id, len(any_value(w.ws))::BIGINT AS n_words, coalesce(sum(back), 0)::BIGINT AS backed_off, round(sum(s), 6) AS log_score
+FROM w LEFT JOIN s ON w.r = s.r GROUP BY w.r, w.doc_id
+"""
+
+SQL = {"op3_stupid_backoff": OP3_SQL, "op4_source_mixing": OP4_SQL}
