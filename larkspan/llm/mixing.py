@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import NO_ID, WORD, doc_key, table
 
 #: At most so many sources are planned on the driver; more is an error, not a silent cut.
 MAX_SOURCES = 1_000_000
@@ -32,8 +32,8 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (5
     return {k: min(limit, weight * level) for _, limit, weight, k in rows}
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, rows_per_group: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and the columns in keep) of every row of docs.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, rows_per_group: int = 4096) -> DataFrame:
+    """doc_id, text_hash, size, source_size, target, taken of every row of docs.
 
     Each source gives whole epochs of itself while its target allows, then the
     rows that come first by a hash of doc_id until the target, rounded down to
@@ -45,7 +45,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     hexed = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15)
-    picked = docs.select("doc_id", "source", *keep, F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.conv(hexed, 16, 10).cast("long").alias("_key"), F.xxhash64(text).alias("_row"))
+    picked = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.conv(hexed, 16, 10).cast("long").alias("_key"), F.xxhash64(text).alias("_row"))
     rows = table(picked, "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -64,4 +64,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - (F.col("_before") + F.col("_upto") - F.col("size"))))
-    return placed.select("doc_id", *keep, "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("doc_id", F.col("_row").alias("text_hash"), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+
+
+def draw(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them; the row at a source's cut if at least half of it fits.
+
+    Rows that agree in id and text are taken alike, as the one of them that is taken most.
+    """
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    plan = mix(docs, weights, most).where("taken > 0").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_did"), F.col("text_hash").alias("_row")).agg(F.max(times).alias("_times")).where("_times > 0")
+    row = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    taken = docs.join(table(plan, "plan"), (doc_key() == F.col("_did")) & (row == F.col("_row")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

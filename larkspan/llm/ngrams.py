@@ -94,13 +94,14 @@ def _ask(buckets: int):
     """One row for each batch, order of n-gram (1, 2) and bucket that has any."""
 
     def run(batches):
+        edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
         for b in batches:
             for batch, sizes, n_bytes, z in zip(*(c.to_pylist() for c in b.columns)):
                 _, one, two = grams(sizes, n_bytes, z)
                 for kind, h in ((1, one), (2, two[two > 0])):
                     h, times = np.unique(h, return_counts=True)
-                    cut = _cuts(h, buckets)
-                    rows = [(k, cut[k], cut[k + 1]) for k in range(buckets) if cut[k + 1] > cut[k]]
+                    cut = np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))  # equal ranges of hashes
+                    rows = [(k, cut[k], cut[k + 1]) for k in np.flatnonzero(np.diff(cut)).tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _, _ in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), pa.array([int(y - x) for _, x, y in rows], pa.int64()), pa.array([int(times[x:y].sum()) for _, x, y in rows], pa.int64()), pa.array([pack(h[x:y], times[x:y]) for _, x, y in rows], pa.binary())],
                         names=["kind", "bucket", "batch", "n", "times", "z"],
@@ -109,12 +110,6 @@ def _ask(buckets: int):
     return run
 
 
-def _cuts(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted hashes pass from bucket to bucket; buckets are equal ranges of hashes."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))
-
-
 ANSWERS = "batch long, kind int, bucket int, n long, z binary"
 
 

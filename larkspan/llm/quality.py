@@ -166,15 +166,15 @@ def fit(rows: list[tuple], ridge: float = 1e-4, steps: int = 150) -> Model:
     return Model(w, np.append(p[m], p[m] + np.cumsum(np.exp(p[m + 1 :]))))
 
 
-def _apply(model: Model, wanted: int, least: float):
-    shared = (model.w.astype(np.float32), model.t)
+def _grader(model: Model):
+    """[i, k]: P(grade > k) of each text of an Arrow column; without words 0."""
+    w, t = model.w.astype(np.float32), model.t
 
-    def run(batches):
-        w, t = shared
+    def start():
         known: dict = {}
-        half = FEATURES // 2
-        for b in batches:
-            texts = as_bytes(b.column(1))
+
+        def grade(column) -> np.ndarray:
+            texts = as_bytes(column)
             score, empty = np.zeros(len(texts)), np.zeros(len(texts), bool)
             for i, text in enumerate(texts):
                 words = (text or b"").split()
@@ -195,13 +195,27 @@ def _apply(model: Model, wanted: int, least: float):
                 score[i] = WORD_SCALE * float(sum(w[c] for c in sorted(core))) + SHAPE_SCALE * (shape + echo(words) * float(w[ECHO])) / (len(words) + EXTRA)
             tails = Model(w, t).tails(score)
             tails[empty] = 0.0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(1)), pa.array(tails[:, wanted - 1]), pa.array(tails[:, wanted - 1] >= least), *b.columns[2:]], names=["did", "expected_grade", "tail_probability", "kept", *b.schema.names[2:]])
+            return tails
+
+        return grade
+
+    return start
+
+
+def _apply(model: Model, wanted: int, least: float):
+    start = _grader(model)
+
+    def run(batches):
+        grade = start()
+        for b in batches:
+            tails = grade(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(1)), pa.array(tails[:, wanted - 1]), pa.array(tails[:, wanted - 1] >= least)], names=["did", "expected_grade", "tail_probability", "kept"])
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, wanted: int = 2, least: float = 0.5, keep: tuple[str, ...] = (), most: int = SAMPLE) -> DataFrame:
-    """doc_id, expected_grade, tail_probability, kept (and the columns in keep) of every row of docs.
+def classify(docs: DataFrame, labels: DataFrame, wanted: int = 2, least: float = 0.5, most: int = SAMPLE) -> DataFrame:
+    """doc_id, expected_grade, tail_probability, kept of every row of docs.
 
     Fitted on at most `most` labelled documents; all rows are graded over their
     whole texts. tail_probability is P(grade >= wanted), kept where it is at
@@ -210,6 +224,17 @@ def classify(docs: DataFrame, labels: DataFrame, wanted: int = 2, least: float =
     repeated rows get the same grade; no rows give no rows.
     """
     model = fit(sample(docs, labels, most))
-    kinds = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    out = docs.select(doc_key().alias("did"), F.col("text").alias("_t"), *keep).mapInArrow(_apply(model, wanted, least), "did long, expected_grade double, tail_probability double, kept boolean" + kinds)
-    return out.select(doc_id("did").alias("doc_id"), "expected_grade", "tail_probability", "kept", *[k for k in keep if k != "doc_id"])
+    out = docs.select(doc_key().alias("did"), "text").mapInArrow(_apply(model, wanted, least), "did long, expected_grade double, tail_probability double, kept boolean")
+    return out.select(doc_id("did").alias("doc_id"), "expected_grade", "tail_probability", "kept")
+
+
+def select(docs: DataFrame, labels: DataFrame, wanted: int = 2, least: float = 0.5, most: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, that classify() keeps."""
+    start, at = _grader(fit(sample(docs, labels, most))), docs.columns.index("text")
+
+    def run(batches):
+        grade = start()
+        for b in batches:
+            yield b.filter(pa.array(grade(b.column(at))[:, wanted - 1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -102,18 +102,8 @@ def _after(x: float) -> float:
     return math.nextafter(x, math.inf)
 
 
-def shard(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("source", "lang", "n_chars", "doc_id"), rows_per_slot_group: int = 4096) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row of docs.
-
-    size is the text's UTF-8 bytes plus 16 (null text: 16). The tree takes
-    `dims` as coordinates: numbers as they are, anything else by a hash of its
-    value; a missing value, or a column that docs lacks, is 0. A hash of the
-    row, below 1, is added to each coordinate, so that ties split too and equal
-    values may lie on both sides of a cut. Rows that agree in id, size and text
-    tie in everything and stay together; no rows give no rows. slot runs from 0
-    in each shard by doc_id within hashed groups, which are numbered in
-    parallel and moved by the prefix sums of their counts.
-    """
+def _coordinates(docs: DataFrame, dims: tuple[str, ...]) -> tuple[F.Column, F.Column, list[F.Column]]:
+    """A row's text, its hash, and its coordinates; see shard()."""
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.xxhash64(F.col("doc_id"), text)
     jitter = F.shiftrightunsigned(row, 11).cast("double") / F.lit(float(2**53))
@@ -126,8 +116,24 @@ def shard(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("source", "lang
         value = F.col(name).cast("double") if number else F.pmod(F.xxhash64(F.col(name)), F.lit(1024)).cast("double")
         return F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0)) + jitter
 
+    return text, row, [coordinate(d).alias(_key(i)) for i, d in enumerate(dims)]
+
+
+def shard(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("source", "lang", "n_chars", "doc_id"), rows_per_slot_group: int = 4096) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of every row of docs.
+
+    size is the text's UTF-8 bytes plus 16 (null text: 16). The tree takes
+    `dims` as coordinates: numbers as they are, anything else by a hash of its
+    value; a missing value, or a column that docs lacks, is 0. A hash of the
+    row, below 1, is added to each coordinate, so that ties split too and equal
+    values may lie on both sides of a cut. Rows that agree in id, size and text
+    tie in everything and stay together; no rows give no rows. slot runs from 0
+    in each shard by doc_id within hashed groups, which are numbered in
+    parallel and moved by the prefix sums of their counts.
+    """
+    text, row, coordinates = _coordinates(docs, dims)
     picked = docs.select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), row.alias("_row"), *[coordinate(d).alias(_key(i)) for i, d in enumerate(dims)]
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), row.alias("_row"), *coordinates
     )
     rows = table(picked, "metadata")
     tree = kd_tree(rows, len(dims), shards)
@@ -140,3 +146,10 @@ def shard(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("source", "lang
     before = counts.select("shard", "_part", (F.sum("n").over(W.partitionBy("shard").orderBy("_part")) - F.col("n")).alias("_before"))
     order = W.partitionBy("shard", "_part").orderBy(doc_key(), "_row")
     return placed.withColumn("_at", F.row_number().over(order)).join(before, ["shard", "_part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_before") + F.col("_at") - 1).alias("slot"))
+
+
+def assign(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("source", "lang", "n_chars", "doc_id")) -> DataFrame:
+    """The rows of docs, all columns, and shard; the texts themselves are not shuffled."""
+    text, _, coordinates = _coordinates(docs, dims)
+    tree = kd_tree(table(docs.select((F.octet_length(text) + 16).cast("long").alias("size"), *coordinates), "metadata"), len(dims), shards)
+    return docs.select("*", *coordinates).withColumn("shard", _route(tree, lambda x: x.first).cast("int")).drop(*[_key(i) for i in range(len(dims))])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, connected_components, doc_id, doc_key, group_bounds, table
+from .repeats import mixed
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Fingerprints that one task compares with each other; a larger bucket is dealt again by masks over its free bits.
@@ -62,7 +63,11 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 def covering_masks(radius: int, free: int = 2**64 - 1) -> list[int]:
     """The 2^(radius+1) - 1 masks over the bits that are set in free."""
     bits = [i for i in range(64) if free >> i & 1]
-    vectors = [j % 2 ** (radius + 1) for j in range(len(bits))]
+    if len(bits) >= 2 ** (radius + 1):  # all vectors, alike often: each mask has half of the bits
+        vectors = [j % 2 ** (radius + 1) for j in range(len(bits))]
+    else:  # the unit vectors leave no mask empty; the others are spread by a fixed hash
+        spread = mixed(np.arange(1, len(bits) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        vectors = [1 << j if j <= radius else int(spread[j]) % 2 ** (radius + 1) for j in range(len(bits))]
     masks = [sum(1 << b for b, m in zip(bits, vectors) if (m & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))]
     return list(dict.fromkeys(masks))
 

@@ -234,3 +234,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes:
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """doc_id, item_id, windows, coverage, changed_slots; the last is above 0 for a re-parameterised item."""
     return matches(docs, benchmark, n, sent_bytes).select(doc_id("did").alias("doc_id"), "item_id", "windows", "coverage", "changed_slots")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """The rows of docs, all columns, without those that hold a benchmark item or a re-parameterised one."""
+    gone = table(matches(docs, benchmark, n, sent_bytes).select("did").distinct(), "contaminated")
+    return docs.join(gone, doc_key() == F.col("did"), "left_anti")
