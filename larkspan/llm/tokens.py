@@ -19,6 +19,7 @@ import struct
 import sys
 import types
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,52 +36,91 @@ LANES, STEPS = 32, 128
 BLOCK = 1 << 18
 MAGIC = b"LKR1"
 HEAD = "<4sIQIII"
-#: Words whose ids a worker keeps.
-KEPT = 300_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words, and parts of words, whose ids a worker keeps.
+KEPT = 500_000
 
 
 def coder(path: str):
-    """The tokenizer, loaded once by each worker, and the ids of the words it met."""
+    """The tokenizer, which of its ids end a word, and the ids of words and of their parts met so far; kept by each worker."""
     kept = sys.modules.setdefault("_larkspan_tokens", types.ModuleType("_larkspan_tokens")).__dict__
     if path not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        kept[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        kept[path] = tokenizer, ends, Known(), {}
     return kept[path]
 
 
+class Known(dict):
+    """Words that are kept; `more` has the others of the texts at hand."""
+
+    more: dict = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.more[word]
+
+
+def parted(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the ASCII punctuation at its end, where the tokenizer parts them too: after a letter or digit."""
+    core = word.rstrip(PUNCTUATION)
+    if not core or len(core) == len(word) or not (core[-1:].isalnum() if core[-1] < 128 else core.decode()[-1].isalpha()) or b"<|" in word:
+        return word, b""
+    return core, word[len(core) :]
+
+
+def _encode_parts(parts: list[bytes], tokenizer, ends: np.ndarray) -> dict[bytes, bytes]:
+    """Ids of each part as little-endian 32-bit integers. Parts of letters alone go in together and are told apart by the ids that end a word."""
+    out = {}
+    text = [p.decode() for p in parts]
+    plain = [k for k, t in enumerate(text) if t.isalpha()]
+    rest = [k for k, t in enumerate(text) if not t.isalpha()]
+    for at in range(0, len(plain), 1000):
+        some = plain[at : at + 1000]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(text[k] for k in some)], add_special_tokens=False)[0].ids, np.int64)
+        stop = np.flatnonzero(ends[ids]) + 1
+        if len(stop) != len(some):
+            rest += some
+            continue
+        raw, stop = ids.astype("<u4").tobytes(), (4 * stop).tolist()
+        out.update((parts[k], raw[a:z]) for k, a, z in zip(some, [0, *stop], stop))
+    for at in range(0, len(rest), 4096):
+        some = rest[at : at + 4096]
+        out.update((parts[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(some, tokenizer.encode_batch_fast([text[k] for k in some], add_special_tokens=False)))
+    return out
+
+
 def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """Ids of each whole text and the end id, as unsigned 32-bit integers.
 
-    The tokenizer drops white space and never joins what it parts, so the ids of
-    a text are those of its words in turn; each word is encoded once while kept.
+    The tokenizer lowers case, drops white space and never joins what it parts,
+    so the ids of a text are those of its words in turn, and each word or part
+    is encoded once while kept. A text with the start of a special token's name
+    is left in its case.
     """
-    tokenizer, known = coder(path)
-    words = [t.split() for t in texts]
-    new = list({w for ws in words for w in ws}.difference(known))
-    more = {}
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            more[w] = np.array(e.ids, "<u4").tobytes()
-    room = max(0, KEPT - len(known))
-    if room >= len(more):
-        known.update(more)
-        look = known.__getitem__
-    else:
-        known.update(list(more.items())[:room])
-        look = lambda w: known.get(w) or more.get(w, b"")
+    tokenizer, ends, known, cores = coder(path)
+    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    new = {w for ws in words for w in ws}.difference(known)
+    pieces = {w: parted(w) for w in new}
+    fresh = _encode_parts([p for p in {x for two in pieces.values() for x in two if x} if p not in cores], tokenizer, ends)
+    here = {b"": b""} | fresh
+    more = {w: (here[a] if a in here else cores[a]) + (here[b] if b in here else cores[b]) for w, (a, b) in pieces.items()}
+    cores.update(islice(fresh.items(), max(0, KEPT - len(cores))))
+    known.update(islice(more.items(), max(0, KEPT - len(known))))
+    known.more = more
     end = np.array([end_id], "<u4").tobytes()
-    return [b"".join(map(look, ws)) + end for ws in words]
+    return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
                 ids = encode_texts([t or b"" for t in as_bytes(part.column(1))], path, end_id)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([codec.compress(np.frombuffer(x, "<u4").astype("<u2" if small(x) else "<u4").tobytes(), asbytes=True) for x in ids], pa.binary()), pa.array([2 if small(x) else 4 for x in ids], pa.int32())],
