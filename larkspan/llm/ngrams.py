@@ -27,7 +27,7 @@ CUTOFF = 2
 BATCH = 8 << 20
 #: N-grams of a bucket, about; buckets follow the corpus.
 BUCKET = 4_000_000
-BATCHES = "batch long, dids binary, bytes array<int>, n_bytes long, z binary"
+BATCHES = "batch long, dids binary, bytes array<int>, n_words long, n_bytes long, z binary"
 
 
 def _batch(batches):
@@ -38,8 +38,8 @@ def _batch(batches):
     def full():
         joined = b"".join(texts)
         return pa.RecordBatch.from_arrays(
-            [pa.array([part << 32 | seq], pa.int64()), pa.array([np.array(dids, "<i8").tobytes()], pa.binary()), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([len(joined)], pa.int64()), pa.array([codec.compress(joined, asbytes=True) if joined else b""], pa.binary())],
-            names=["batch", "dids", "bytes", "n_bytes", "z"],
+            [pa.array([part << 32 | seq], pa.int64()), pa.array([np.array(dids, "<i8").tobytes()], pa.binary()), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([sum(len(t.split()) for t in texts)], pa.int64()), pa.array([len(joined)], pa.int64()), pa.array([codec.compress(joined, asbytes=True) if joined else b""], pa.binary())],
+            names=["batch", "dids", "bytes", "n_words", "n_bytes", "z"],
         )
 
     for b in batches:
@@ -87,7 +87,7 @@ def unpack(n: int, z: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-ASKED = "kind int, bucket int, batch long, n long, times long, z binary"
+ASKED = "kind int, bucket int, batch long, n long, z binary"
 
 
 def _ask(buckets: int):
@@ -103,8 +103,8 @@ def _ask(buckets: int):
                     cut = np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))  # equal ranges of hashes
                     rows = [(k, cut[k], cut[k + 1]) for k in np.flatnonzero(np.diff(cut)).tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _, _ in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), pa.array([int(y - x) for _, x, y in rows], pa.int64()), pa.array([int(times[x:y].sum()) for _, x, y in rows], pa.int64()), pa.array([pack(h[x:y], times[x:y]) for _, x, y in rows], pa.binary())],
-                        names=["kind", "bucket", "batch", "n", "times", "z"],
+                        [pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _, _ in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), pa.array([int(y - x) for _, x, y in rows], pa.int64()), pa.array([pack(h[x:y], times[x:y]) for _, x, y in rows], pa.binary())],
+                        names=["kind", "bucket", "batch", "n", "z"],
                     )
 
     return run
@@ -163,12 +163,11 @@ def score(docs: DataFrame) -> DataFrame:
     hashes. Repeated rows count as often as they occur; no rows give no rows.
     """
     packed = table(docs.select(doc_key().alias("did"), "text").mapInArrow(_batch, BATCHES), "batches")
-    size = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(16, math.ceil(size / 6 / BUCKET))
-    asked = table(packed.select("batch", "bytes", "n_bytes", "z").mapInArrow(_ask(buckets), ASKED), "asked")
-    answers = asked.select("kind", "bucket", "batch", "n", "z").groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS)
+    total = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    buckets = max(16, math.ceil(total / BUCKET))
+    asked = packed.select("batch", "bytes", "n_bytes", "z").mapInArrow(_ask(buckets), ASKED)
+    answers = asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS)
     gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "n", "z")).alias("answers"))
-    total = asked.where("kind = 1").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     joined = packed.join(gathered, "batch", "left").select("dids", "bytes", "n_bytes", "z", "answers")
     out = joined.mapInArrow(_score(total), "did long, n_words long, backed_off long, log_score double")
     return out.select(doc_id("did").alias("doc_id"), "n_words", "backed_off", "log_score")
