@@ -72,7 +72,8 @@ def _gather(batches):
     known: dict = {}
     for b in batches:
         rows = [features(t or b"", known) for t in as_bytes(b.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64())), b.column(1)], names=["at", "value", "grade"])
+        packed = [(at.astype("<i4").tobytes(), value.astype("<f4").tobytes()) for at, value in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()), b.column(1)], names=["at", "value", "grade"])
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -86,7 +87,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple
     chosen = grades(labels).orderBy(F.xxhash64("did"), "did").limit(most)
     joined = docs.select(doc_key().alias("did"), "text").join(F.broadcast(chosen), "did")
     rows = joined.select(F.coalesce("text", F.lit("")).alias("text"), "grade", "did").orderBy("did", F.xxhash64("text")).limit(2 * most).select("text", "grade")
-    return [(np.array(r["at"]), np.array(r["value"]), r["grade"]) for r in rows.mapInArrow(_gather, "at array<long>, value array<double>, grade int").toLocalIterator()]
+    packed = rows.mapInArrow(_gather, "at binary, value binary, grade int").toLocalIterator()
+    return [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4"), r["grade"]) for r in packed]
 
 
 class Model:
@@ -107,7 +109,7 @@ def fit(rows: list[tuple], ridge: float = 1e-4, steps: int = 150) -> Model:
         return Model(np.zeros(FEATURES), np.full(GRADES - 1, -50.0))
     at = np.concatenate([r[0] for r in rows])
     value = np.concatenate([r[1] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     n, share = len(y), np.bincount(y, minlength=GRADES) / len(y)
     docs_with = np.bincount(at, minlength=FEATURES)
     telling = np.zeros(FEATURES, bool)
