@@ -73,7 +73,7 @@ def draw(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float =
     Rows that agree in id and text are taken alike, as the one of them that is taken most.
     """
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = mix(docs, weights, most).where("taken > 0").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_did"), F.col("text_hash").alias("_row")).agg(F.max(times).alias("_times")).where("_times > 0")
+    plan = mix(docs, weights, most).where("taken > 0").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("__lk_did"), F.col("text_hash").alias("__lk_row")).agg(F.max(times).alias("__lk_times")).where("__lk_times > 0")
     row = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    taken = docs.join(table(plan, "plan"), (doc_key() == F.col("_did")) & (row == F.col("_row")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = docs.join(table(plan, "plan"), (doc_key() == F.col("__lk_did")) & (row == F.col("__lk_row")))
+    return taken.withColumn("__lk_copy", F.explode(F.sequence(F.lit(1), F.col("__lk_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -127,9 +127,9 @@ def deduplicate(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
     one stays. A null id counts as smaller than any other; no rows give no rows.
     """
     found = table(groups(docs, words, least, radius), "groups")
-    gone = found.where("did <> root").select(F.col("did").alias("_did"), F.col("tk").alias("_tk")).distinct()
+    gone = found.where("did <> root").select(F.col("did").alias("__lk_did"), F.col("tk").alias("__lk_tk")).distinct()
     tk = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(0xFFFF).cast("int")
-    kept = docs.join(gone, (doc_key() == F.col("_did")) & (tk == F.col("_tk")), "left_anti")
+    kept = docs.join(gone, (doc_key() == F.col("__lk_did")) & (tk == F.col("__lk_tk")), "left_anti")
     if not found.where("did = root").groupBy("did", "t1", "t2").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept

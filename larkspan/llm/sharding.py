@@ -25,7 +25,7 @@ class Node:
 
 
 def _key(dim: int) -> str:
-    return f"_k{dim}"
+    return f"__lk_{dim}"
 
 
 def _route(node: Node, leaf) -> F.Column:
@@ -40,7 +40,7 @@ def _open(node: Node) -> list[Node]:
 
 
 def kd_tree(rows: DataFrame, n_dims: int, shards: int) -> Node:
-    """Grows the tree level by level over rows (size, _k0.._kn); all nodes of a level share each pass."""
+    """Grows the tree level by level over rows (size and one column per dimension); all nodes of a level share each pass."""
     root = Node(0, shards)
     whole = rows.agg(*[f(_key(d)) for d in range(n_dims) for f in (F.min, F.max)]).first()
     width = [(whole[2 * d + 1] - whole[2 * d]) if whole[0] is not None else 0.0 for d in range(n_dims)]

@@ -238,5 +238,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_by
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """The rows of docs, all columns, without those that hold a benchmark item or a re-parameterised one."""
-    gone = table(matches(docs, benchmark, n, sent_bytes).select("did").distinct(), "contaminated")
-    return docs.join(gone, doc_key() == F.col("did"), "left_anti")
+    gone = table(matches(docs, benchmark, n, sent_bytes).select(F.col("did").alias("__lk_did")).distinct(), "contaminated")
+    return docs.join(gone, doc_key() == F.col("__lk_did"), "left_anti")
