@@ -14,6 +14,7 @@ Blocks are rows of Parquet files whose order is that of the documents.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import sys
@@ -27,18 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, doc_id, doc_key, table
+from .common import NO_ID, as_bytes, doc_id, doc_key, table
 
 #: Frequencies sum to 2^BITS; states lie in [2^31, 2^63).
 BITS = 20
 LANES, STEPS = 32, 128
 #: Ids of a block at least, but for the last of a file; a longer document makes a longer block.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 MAGIC = b"LKR1"
 HEAD = "<4sIQIII"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words, and parts of words, whose ids a worker keeps.
-KEPT = 500_000
+KEPT = 400_000
 
 
 def coder(path: str):
@@ -51,19 +52,10 @@ def coder(path: str):
         tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        kept[path] = tokenizer, ends, Known(), {}
+        kept[path] = tokenizer, ends, {}, {}
     return kept[path]
 
 
-class Known(dict):
-    """Words that are kept; `more` has the others of the texts at hand."""
-
-    more: dict = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.more[word]
-
-
 def parted(word: bytes) -> tuple[bytes, bytes]:
     """A word and the ASCII punctuation at its end, where the tokenizer parts them too: after a letter or digit."""
     core = word.rstrip(PUNCTUATION)
@@ -103,35 +95,63 @@ def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """
     tokenizer, ends, known, cores = coder(path)
     words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    new = {w for ws in words for w in ws}.difference(known)
-    pieces = {w: parted(w) for w in new}
-    fresh = _encode_parts([p for p in {x for two in pieces.values() for x in two if x} if p not in cores], tokenizer, ends)
-    here = {b"": b""} | fresh
-    more = {w: (here[a] if a in here else cores[a]) + (here[b] if b in here else cores[b]) for w, (a, b) in pieces.items()}
-    cores.update(islice(fresh.items(), max(0, KEPT - len(cores))))
-    known.update(islice(more.items(), max(0, KEPT - len(known))))
-    known.more = more
+    found = [list(map(known.get, ws)) for ws in words]
+    holes = [[k for k, x in enumerate(f) if x is None] for f in found]
+    pieces = {w: None for ws, hs in zip(words, holes) for w in map(ws.__getitem__, hs)}
+    for w in pieces:
+        pieces[w] = parted(w)
+    here = {b"": b""}
+    here.update(_encode_parts([p for p in {x for two in pieces.values() for x in two if x} if p not in cores], tokenizer, ends))
+    for w, (a, b) in pieces.items():
+        pieces[w] = (here[a] if a in here else cores[a]) + (here[b] if b in here else cores[b])
     end = np.array([end_id], "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+    for ws, f, hs in zip(words, found, holes):
+        for k in hs:
+            f[k] = pieces[ws[k]]
+        f.append(end)
+    cores.update(islice(here.items(), max(0, KEPT - len(cores))))
+    known.update(islice(pieces.items(), max(0, KEPT - len(known))))
+    return list(map(b"".join, found))
+
+
+CODED = "kind int, did long, n long, crc long, z binary, width int"
 
 
 def _tokenize(path: str, end_id: int):
+    """Rows of documents (kind 0), and one that counts the ids of the partition (kind 1: z has the counts)."""
+
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+        names = [c.split()[0] for c in CODED.split(", ")]
+        total = np.zeros(0, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                ids = encode_texts([t or b"" for t in as_bytes(part.column(1))], path, end_id)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([codec.compress(np.frombuffer(x, "<u4").astype("<u2" if small(x) else "<u4").tobytes(), asbytes=True) for x in ids], pa.binary()), pa.array([2 if small(x) else 4 for x in ids], pa.int32())],
-                    names=["did", "n", "crc", "z", "width"],
-                )
+                gc.disable()  # millions of small objects, none in a cycle
+                try:
+                    ids = encode_texts([t or b"" for t in as_bytes(part.column(1))], path, end_id)
+                finally:
+                    gc.enable()
+                numbers = [np.frombuffer(x, "<u4") for x in ids]
+                count = np.bincount(np.concatenate(numbers))
+                total = _sum(total, count)
+                width = [2 if len(count) <= 65536 else 4] * len(ids)
+                z = [codec.compress(x.astype(f"<u{width[0]}").tobytes(), asbytes=True) for x in numbers]
+                columns = ([0] * len(ids), part.column(0), [len(x) for x in numbers], [zlib.crc32(x) for x in ids], z, width)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        if len(total):
+            z = codec.compress(total.astype("<i8").tobytes(), asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((1, NO_ID, len(total), 0, z, 8), kinds)], names=names)
 
     return run
 
 
-def small(ids: bytes) -> bool:
-    return int(np.frombuffer(ids, "<u4").max()) < 65536
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b.copy(), a
+    a[: len(b)] += b
+    return a
 
 
 def _ids(z: bytes, n: int, width: int) -> np.ndarray:
@@ -139,13 +159,10 @@ def _ids(z: bytes, n: int, width: int) -> np.ndarray:
 
 
 def _histogram(batches):
-    total = np.zeros(1, np.int64)
+    total = np.zeros(0, np.int64)
     for b in batches:
-        for n, z, w in zip(*(c.to_pylist() for c in b.columns)):
-            one = np.bincount(_ids(z, n, w))
-            if len(one) > len(total):
-                total = np.append(total, np.zeros(len(one) - len(total), np.int64))
-            total[: len(one)] += one
+        for n, z in zip(*(c.to_pylist() for c in b.columns)):
+            total = _sum(total, _ids(z, n, 8))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -166,7 +183,7 @@ class Frequencies:
         self.c = (np.cumsum(f) - f).astype(np.uint64)
 
     def slots(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.f)), self.f.astype(np.int64))
+        return np.repeat(np.arange(len(self.f), dtype=np.uint32), self.f.astype(np.int64))
 
 
 def encode_block(ids: np.ndarray, dids: list[int], lengths: list[int], freq: Frequencies) -> bytes:
@@ -176,20 +193,27 @@ def encode_block(ids: np.ndarray, dids: list[int], lengths: list[int], freq: Fre
     grid = np.full(segments * span, int(freq.f.argmax()), np.int64)
     grid[: len(ids)] = ids
     grid = grid.reshape(segments, STEPS, LANES)
-    x = np.full((segments, LANES), 1 << 31, np.uint64)
-    low, high, bits = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(BITS)
-    out = []
+    # by step, the lanes of all segments side by side
+    grid = np.ascontiguousarray(grid.transpose(1, 0, 2).reshape(STEPS, segments * LANES))
+    f, c = freq.f[grid], freq.c[grid]
+    top = f << np.uint64(63 - BITS)
+    x = np.full(segments * LANES, 1 << 31, np.uint64)
+    high, bits = np.uint64(32), np.uint64(BITS)
+    lanes, out = [], []
     for t in range(STEPS - 1, -1, -1):
-        f, c = freq.f[grid[:, t]], freq.c[grid[:, t]]
-        full = x >= f << np.uint64(63 - BITS)
-        out.append((full, (x & low)[full].astype("<u4")))
-        x = np.where(full, x >> high, x)
-        q = x // f
-        x = (q << bits) + (x - q * f) + c
+        full = np.flatnonzero(x >= top[t])
+        some = x[full]
+        lanes.append(full)
+        out.append(some.astype("<u4"))  # the low 32 bits
+        x[full] = some >> high
+        q = x // f[t]
+        x -= q * f[t]
+        q <<= bits
+        x += q
+        x += c[t]
     # words of a segment stand in the order in which its decoder takes them: by step, then lane
-    out.reverse()
-    seg = np.concatenate([np.nonzero(m)[0] for m, _ in out])
-    words = np.concatenate([w for _, w in out])[np.argsort(seg, kind="stable")]
+    seg = np.concatenate(lanes[::-1]) // LANES
+    words = np.concatenate(out[::-1])[np.argsort(seg, kind="stable")]
     first = np.append(0, np.cumsum(np.bincount(seg, minlength=segments)))[:-1]
     crc = zlib.crc32(ids.astype("<u4").tobytes())
     docs = np.empty(len(dids), [("id", "<i8"), ("n", "<u4")])
@@ -209,19 +233,25 @@ def decode_block(block: bytes, freq: Frequencies, slots: np.ndarray, only: slice
     at += 4 * segments
     x = np.frombuffer(block, "<u8", segments * LANES, at).reshape(segments, LANES)[only].astype(np.uint64)
     at += 8 * segments * LANES
-    words = np.append(np.frombuffer(block, "<u4", n_words, at).astype(np.uint64), np.uint64(0))
-    grid = np.empty((len(x), STEPS, LANES), np.int64)
+    words = np.frombuffer(block, "<u4", n_words, at)
+    x = x.ravel()
+    grid = np.empty((STEPS, len(x)), slots.dtype)
     mask, high, bits, least = np.uint64((1 << BITS) - 1), np.uint64(32), np.uint64(BITS), np.uint64(1 << 31)
     for t in range(STEPS):
         slot = x & mask
-        s = slots[slot.astype(np.int64)]
-        grid[:, t] = s
-        x = freq.f[s] * (x >> bits) + slot - freq.c[s]
-        need = x < least
-        order = np.cumsum(need, axis=1)
-        take = np.where(need, first[:, None] + order - 1, n_words)
-        x = np.where(need, (x << high) | words[take], x)
-        first = first + order[:, -1]
+        s = slots[slot.view(np.int64)]
+        grid[t] = s
+        x >>= bits
+        x *= freq.f[s]
+        x += slot
+        x -= freq.c[s]
+        need = np.flatnonzero(x < least)
+        seg = need // LANES
+        taken = np.bincount(seg, minlength=len(first))
+        place = np.arange(len(need)) + (first - (np.cumsum(taken) - taken))[seg]
+        x[need] = (x[need] << high) | words[np.minimum(place, n_words - 1)]  # a damaged block may point anywhere
+        first = first + taken
+    grid = grid.reshape(STEPS, -1, LANES).transpose(1, 0, 2)
     ids = grid.ravel()
     if only == slice(None):
         ids = ids[:n]
@@ -262,10 +292,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[DataFrame,
     A document's ids are those of its whole text (null: empty) and the end id.
     Null ids come first; rows that share an id are ordered by their ids' bytes.
     """
-    coded = table(docs.select(doc_key().alias("did"), "text").mapInArrow(_tokenize(tokenizer_path, end_id), "did long, n long, crc long, z binary, width int"), "ids")
-    counts = coded.select("n", "z", "width").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    coded = table(docs.select(doc_key().alias("did"), "text").mapInArrow(_tokenize(tokenizer_path, end_id), CODED), "ids")
+    counts = coded.where("kind = 1").select("n", "z").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     freq = Frequencies({r["id"]: r["n"] for r in counts.collect()})  # one row per id of the vocabulary
-    ordered = coded.repartitionByRange("did").sortWithinPartitions("did", "n", "crc", "z").select("did", "n", "z", "width")
+    ordered = coded.where("kind = 0").repartitionByRange("did").sortWithinPartitions("did", "n", "crc", "z").select("did", "n", "z", "width")
     return table(ordered.mapInArrow(_write(freq), BLOCKS), "blocks"), freq
 
 
