@@ -47,6 +47,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table up to which it is sent to every task of a join; they are of a few hundred bytes at most.
+SENT_ROWS = 50_000
+
+
+def sent_if_small(written: DataFrame) -> DataFrame:
+    """A table that table() wrote, marked for broadcast if its counted rows are few; a larger one is joined by shuffle."""
+    return F.broadcast(written) if written.limit(SENT_ROWS + 1).count() <= SENT_ROWS else written
+
+
 def doc_key(col: str = "doc_id") -> F.Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import as_bytes, doc_id, keyed, packed_texts, table, unpack
+from .common import as_bytes, doc_id, keyed, packed_texts, sent_if_small, table, unpack
 
 WINDOW, GRAM, LEAD = 400, 64, 64
 #: Windows of a very long text that are looked at together.
@@ -210,7 +210,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     cold = packed.where("NOT hot").repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_sort(window), R.HITS)
     hot = packed.where("hot").select("lead", "anchor", "did", F.expr(R.TK), F.expr(R.AT))
     twice = table(hot.groupBy("lead", "anchor").agg(F.count("*").alias("k")).where("k > 1").select("lead", "anchor"), "windows")
-    dealt = hot.join(twice, ["lead", "anchor"]).select("did", "tk", "at", F.lit(1).alias("n"))
+    dealt = hot.join(sent_if_small(twice), ["lead", "anchor"]).select("did", "tk", "at", F.lit(1).alias("n"))
     return copies.unionByName(cold).unionByName(dealt)
 
 
