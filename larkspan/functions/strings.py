@@ -26,7 +26,7 @@ def same(s: Column, text: str) -> Column:
 
 def is_title(s: Column) -> Column:
     """Every run of letters starts with a capital and goes on without one, and there is a run."""
-    return s.rlike(r"\p{L}") & ~s.rlike(r"(^|\P{L})[\p{Ll}]") & ~s.rlike(r"\p{L}\p{Lu}")
+    return s.rlike(r"\p{Lu}") & ~s.rlike(r"(^|\P{L})\p{Ll}|\p{L}\p{Lu}")
 
 
 def concat(*parts: Column) -> Column:

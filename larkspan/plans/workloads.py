@@ -13,7 +13,7 @@ from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import select as P
 from ..operators import topk as K
-from ..sources.tables import GRAVITY, YEAR
+from ..sources.tables import GRAVITY, YEAR, spread
 
 # The option-pricing workload's two constants, and the point and radius of the distance workload.
 HALF, ONE = 3.0, 1.5
@@ -98,18 +98,27 @@ def tag_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     A rule tagger stands for a statistical one: closed-class words by list, then
     numbers, punctuation, names within a sentence, and endings.
     """
-    words = docs.select(id_column, S.without_space(S.tokens(F.coalesce(F.col(text), F.lit("")))).alias("_w"))
+    words = spread(docs.select(id_column, text)).select(id_column, S.without_space(S.tokens(F.coalesce(F.col(text), F.lit("")))).alias("_w"))
     words = words.select(id_column, "_w", S.sentence_begins(F.col("_w")).alias("_b"))
-    table = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
+    by_tag: dict = {}
+    for word, tag in TAGS.items():
+        by_tag.setdefault(tag, []).append(word)
+
+    def closed(low: Column) -> Column:
+        """Tag of a closed-class word; the words are short, so a longer one is passed over at once."""
+        tag = F.lit(None).cast("string")
+        for t, words_ in by_tag.items():
+            tag = F.when(low.isin(words_), t).otherwise(tag)
+        return F.when(F.length(low) <= max(map(len, TAGS)), tag)
 
     def one(w: Column, i: Column) -> Column:
         low = F.lower(w)
-        known = F.element_at(table, low)
+        known = closed(low)
         begins = F.get(F.col("_b"), i)
-        shown = F.when(S.is_title(w) & begins & known.isNotNull(), low).otherwise(w)
+        shown = F.when(begins & known.isNotNull() & S.is_title(w), low).otherwise(w)
         tag = F.coalesce(
             known,
-            F.when(w.rlike(r"^[\d.,]*\d[\d.,]*$"), "CD").when(w.rlike(r"^[^\p{L}\p{N}]+$"), ".").when(S.is_title(w) & ~begins, "NNP").when(low.rlike("ing$"), "VBG").when(low.rlike("ed$"), "VBD").when(low.rlike("ly$"), "RB").when(low.rlike("s$"), "NNS").otherwise("NN"),
+            F.when(w.rlike(r"^[\d.,]*\d[\d.,]*$"), "CD").when(w.rlike(r"^[^\p{L}\p{N}]+$"), ".").when(~begins & S.is_title(w), "NNP").when(low.endswith("ing"), "VBG").when(low.endswith("ed"), "VBD").when(low.endswith("ly"), "RB").when(low.endswith("s"), "NNS").otherwise("NN"),
         )
         return F.concat(shown, F.lit("|"), tag)
 

@@ -106,3 +106,15 @@ def states(first: DataFrame, step, every: int = 5) -> Iterator[DataFrame]:
         first = step(first)
         if n % every == 0:
             first = first.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its files, by their size, make fewer scan tasks than there are cores; else as it is.
+
+    For work that takes much longer than moving the rows.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < split * cores else df
