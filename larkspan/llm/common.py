@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: A word is a run of bytes other than ASCII space, \t, \n, \v, \f and \r; bytes.split() uses the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null document id inside the operators; it sorts first.
@@ -91,7 +93,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """did, tk, text of documents; a null text is an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(doc_key().alias("did"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("tk"), text.alias("text"))
+    return spread(docs.select("doc_id", "text")).select(doc_key().alias("did"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("tk"), text.alias("text"))
 
 
 def unpack(z: bytes, n: int) -> bytes:

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .common import as_bytes, doc_id, doc_key, table
 
 ALPHA = 0.4
@@ -162,7 +163,7 @@ def score(docs: DataFrame) -> DataFrame:
     runs of bytes other than white space; n-grams are told apart by 64-bit
     hashes. Repeated rows count as often as they occur; no rows give no rows.
     """
-    packed = table(docs.select(doc_key().alias("did"), "text").mapInArrow(_batch, BATCHES), "batches")
+    packed = table(spread(docs.select(doc_key().alias("did"), "text")).mapInArrow(_batch, BATCHES), "batches")
     total = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(16, math.ceil(total / BUCKET))
     asked = packed.select("batch", "bytes", "n_bytes", "z").mapInArrow(_ask(buckets), ASKED)

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .common import as_bytes, doc_id, doc_key
 
 #: Hashed features: words (present or not) in the first half, shapes of words (share of the text's words) in the second.
@@ -226,7 +227,7 @@ def classify(docs: DataFrame, labels: DataFrame, wanted: int = 2, least: float =
     repeated rows get the same grade; no rows give no rows.
     """
     model = fit(sample(docs, labels, most))
-    out = docs.select(doc_key().alias("did"), "text").mapInArrow(_apply(model, wanted, least), "did long, expected_grade double, tail_probability double, kept boolean")
+    out = spread(docs.select(doc_key().alias("did"), "text")).mapInArrow(_apply(model, wanted, least), "did long, expected_grade double, tail_probability double, kept boolean")
     return out.select(doc_id("did").alias("doc_id"), "expected_grade", "tail_probability", "kept")
 
 
@@ -239,4 +240,4 @@ def select(docs: DataFrame, labels: DataFrame, wanted: int = 2, least: float = 0
         for b in batches:
             yield b.filter(pa.array(grade(b.column(at))[:, wanted - 1] >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

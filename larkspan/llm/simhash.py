@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .common import as_bytes, connected_components, doc_id, doc_key, group_bounds, table
 from .repeats import mixed
 
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = np.array([fingerprint(shingle_hashes(t or b"", words)) for t in as_bytes(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["did", "fp"])
 
-    return docs.select(doc_key().alias("did"), "text").mapInArrow(run, "did long, fp long")
+    return spread(docs.select(doc_key().alias("did"), "text")).mapInArrow(run, "did long, fp long")
 
 
 def covering_masks(radius: int, free: int = 2**64 - 1) -> list[int]:

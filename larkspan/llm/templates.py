@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .common import as_bytes, doc_id, doc_key, table
 
 #: Template words of a window; an item with fewer is one window. At least half of a window are words, not placeholders.
@@ -217,7 +218,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes:
     words, match nothing; repeated items and documents match each on their own.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = docs.select(doc_key().alias("did"), "text")
+    texts = spread(docs.select(doc_key().alias("did"), "text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= sent_bytes:
         sent = index([(r["item_id"], r["text"].encode()) for r in items.collect()], n)

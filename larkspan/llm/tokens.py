@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .common import NO_ID, as_bytes, doc_id, doc_key, table
 
 #: Frequencies sum to 2^BITS; states lie in [2^31, 2^63).
@@ -292,7 +293,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[DataFrame,
     A document's ids are those of its whole text (null: empty) and the end id.
     Null ids come first; rows that share an id are ordered by their ids' bytes.
     """
-    coded = table(docs.select(doc_key().alias("did"), "text").mapInArrow(_tokenize(tokenizer_path, end_id), CODED), "ids")
+    coded = table(spread(docs.select(doc_key().alias("did"), "text")).mapInArrow(_tokenize(tokenizer_path, end_id), CODED), "ids")
     counts = coded.where("kind = 1").select("n", "z").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     freq = Frequencies({r["id"]: r["n"] for r in counts.collect()})  # one row per id of the vocabulary
     ordered = coded.where("kind = 0").repartitionByRange("did").sortWithinPartitions("did", "n", "crc", "z").select("did", "n", "z", "width")
