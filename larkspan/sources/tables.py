@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,7 +106,15 @@ def states(first: DataFrame, step, every: int = 5) -> Iterator[DataFrame]:
         n += 1
         first = step(first)
         if n % every == 0:
-            first = first.checkpoint()
+            first = checkpointed(first)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, which the cluster names in spark.checkpoint.dir; a local one where it names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="larkspan-"))
+    return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def test_cleaning_golden(spark):
 
 @pytest.mark.parametrize("steps,total", [(1, -141910485218610.5), (3, -141910411311402.28)])
 def test_nbody_golden(spark, steps, total):
-    run = T.states(T.galaxy(spark, 4), W.nbody_step, every=100)
+    run = T.states(T.galaxy(spark, 4), W.nbody_step, every=2)
     states = [next(run) for _ in range(steps + 1)]
     out = states[-1].orderBy("id").collect()
     assert sum(r.x + r.y + r.z for r in out) == pytest.approx(total, rel=1e-8)
@@ -166,6 +166,12 @@ def test_streamed_windows_equal_the_table(spark, tmp_path):
     assert got == {(r.window_start, r.event_type): r.n for r in E.windowed_counts(events).collect()}
 
 
+def test_small_inputs_are_spread(spark):
+    few = spark.read.parquet(f"{SMALL}/orders.parquet")
+    assert T.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "Exchange" not in plan(T.spread(spark.createDataFrame([(1,)], "a int")))
+
+
 def test_derived_and_shown(spark, capsys):
     T.show_head(P.derive(spark.range(2), "d", F.col("id") + 1))
     assert "|0  |1  |" in capsys.readouterr().out
