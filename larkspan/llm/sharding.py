@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import doc_key, table
@@ -13,6 +15,8 @@ from .common import doc_key, table
 BINS = 512
 #: A split is settled once the histogram bin that holds the median weighs less than this share of a leaf.
 TOLERANCE = 0.002
+#: Leaves of one tree, at most: each is a branch of the expression that routes rows. More shards than that are made in two steps.
+MAX_LEAVES = 4096
 
 
 @dataclass
@@ -41,6 +45,8 @@ def _open(node: Node) -> list[Node]:
 
 def kd_tree(rows: DataFrame, n_dims: int, shards: int) -> Node:
     """Grows the tree level by level over rows (size and one column per dimension); all nodes of a level share each pass."""
+    if not 1 <= shards <= MAX_LEAVES:
+        raise ValueError(f"a tree has 1 to {MAX_LEAVES} leaves, not {shards}")
     root = Node(0, shards)
     whole = rows.agg(*[f(_key(d)) for d in range(n_dims) for f in (F.min, F.max)]).first()
     width = [(whole[2 * d + 1] - whole[2 * d]) if whole[0] is not None else 0.0 for d in range(n_dims)]
@@ -96,9 +102,15 @@ def kd_tree(rows: DataFrame, n_dims: int, shards: int) -> Node:
     return root
 
 
-def _after(x: float) -> float:
-    import math
+def shards_for(rows: DataFrame, shards: int | None, target_bytes: int | None) -> int:
+    """The number of shards as given, or as many as bring each to the target bytes."""
+    if shards is None:
+        total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        shards = max(1, -(-total // target_bytes))
+    return shards
+
 
+def _after(x: float) -> float:
     return math.nextafter(x, math.inf)
 
 
@@ -119,10 +131,12 @@ def _coordinates(docs: DataFrame, dims: tuple[str, ...]) -> tuple[F.Column, F.Co
     return text, row, [coordinate(d).alias(_key(i)) for i, d in enumerate(dims)]
 
 
-def shard(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("source", "lang", "n_chars", "doc_id"), rows_per_slot_group: int = 4096) -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = None, dims: tuple[str, ...] = ("source", "lang", "n_chars", "doc_id"), rows_per_slot_group: int = 4096, target_bytes: int = 256 << 20) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row of docs.
 
-    size is the text's UTF-8 bytes plus 16 (null text: 16). The tree takes
+    There are `shards` leaves or, where that is None, as many as bring each to
+    `target_bytes`. size is the text's UTF-8 bytes plus 16 (null text: 16). The
+    tree takes
     `dims` as coordinates: numbers as they are, anything else by a hash of its
     value; a missing value, or a column that docs lacks, is 0. A hash of the
     row, below 1, is added to each coordinate, so that ties split too and equal
@@ -136,12 +150,11 @@ def shard(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("source", "lang
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), row.alias("_row"), *coordinates
     )
     rows = table(picked, "metadata")
+    shards = shards_for(rows, shards, target_bytes)
     tree = kd_tree(rows, len(dims), shards)
     placed = rows.select("doc_id", "size", "text_crc32", "_row", _route(tree, lambda x: x.first).cast("int").alias("shard"))
     parts = max(8, -(-rows.count() // (shards * rows_per_slot_group)))
     placed = placed.withColumn("_part", F.pmod("_row", F.lit(parts)))
-    from pyspark.sql import Window as W
-
     counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("n"))
     before = counts.select("shard", "_part", (F.sum("n").over(W.partitionBy("shard").orderBy("_part")) - F.col("n")).alias("_before"))
     order = W.partitionBy("shard", "_part").orderBy(doc_key(), "_row")

@@ -67,8 +67,8 @@ def covering_masks(radius: int, free: int = 2**64 - 1) -> list[int]:
     if len(bits) >= 2 ** (radius + 1):  # all vectors, alike often: each mask has half of the bits
         vectors = [j % 2 ** (radius + 1) for j in range(len(bits))]
     else:  # the unit vectors leave no mask empty; the others are spread by a fixed hash
-        spread = mixed(np.arange(1, len(bits) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        vectors = [1 << j if j <= radius else int(spread[j]) % 2 ** (radius + 1) for j in range(len(bits))]
+        noise = mixed(np.arange(1, len(bits) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        vectors = [1 << j if j <= radius else int(noise[j]) % 2 ** (radius + 1) for j in range(len(bits))]
     masks = [sum(1 << b for b, m in zip(bits, vectors) if (m & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))]
     return list(dict.fromkeys(masks))
 

@@ -58,6 +58,10 @@ def test_shards_of_awkward_rows(spark):
         assert slots == list(range(len(slots)))
     assert {r["size"] for r in got if r.doc_id == 7} == {16}
     assert sharding.shard(corpus.empty(spark), 4).count() == 0
+    by_size = sharding.shard(corpus.frame(spark), target_bytes=10_000).collect()
+    assert len({r.shard for r in by_size}) == -(-sum(r["size"] for r in by_size) // 10_000)
+    with pytest.raises(ValueError):
+        sharding.shard(corpus.frame(spark), sharding.MAX_LEAVES + 1)
     whole = sharding.assign(corpus.frame(spark), 4)
     assert whole.count() == len(corpus.texts()) and whole.columns == corpus.empty(spark).columns
     assert sharding.assign(corpus.empty(spark), 4).count() == 0
