@@ -407,7 +407,11 @@ def string_functions(spark, d):
     return read(spark, d, "part").select("p_partkey", S.slice_text(F.col("p_name"), 2, 6).alias("part"), S.lower(F.col("p_brand")).alias("low"), S.contains(F.col("p_type"), "B.*S").alias("hit"), S.same(F.col("p_brand"), "Brand#13").alias("same"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(\.\.\.|[\p{L}\p{M}\p{N}_''-]+|[^\s\p{L}\p{M}\p{N}_''-])') AS w FROM documents)
+    SELECT doc_id, len(w)::INTEGER AS n_tokens, len(list_filter(w, lambda x: regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '(^|\P{L})\p{Ll}|\p{L}\p{Lu}')))::INTEGER AS titled,
+    ((len(w) > 0)::INTEGER + len(list_filter(w[2:-2], lambda x: x IN ('.', '!', '?', '...'))))::INTEGER AS begins FROM t"""
+)
 def sentence_tokens(spark, d):
     docs = read(spark, d, "documents").select("doc_id", S.without_space(S.tokens(F.col("text"))).alias("w"))
     titled = F.size(F.filter("w", lambda t: S.is_title(t))).alias("titled")
@@ -760,12 +764,25 @@ def shallow_water_step(spark, d):
     return G.shallow_water_step(T.still_water(spark, WATER), WATER).select("i", "j", r("eta").alias("eta"), r("u").alias("u"), r("v", 8).alias("v"))
 
 
-@query()
+def _water_sql(k: int, n: int) -> str:
+    """Step k from step k - 1: neighbours by joins on moved indices."""
+    h = f"(2.0::DOUBLE / {n})"
+    at = lambda name, i, j: f"JOIN s{k - 1} {name} ON {name}.i = (a.i + {i}) % {n} AND {name}.j = (a.j + {j}) % {n}"
+    return f"""s{k} AS (SELECT a.i, a.j, a.eta + (-(r.u * r.eta - l.u * l.eta) / {h} - (b.v * b.eta - t.v * t.eta) / {h}) / {n * 100} AS eta,
+    a.u - (r.eta - l.eta) / {h} / {n * 100} AS u, a.v - (b.eta - t.eta) / {h} / {n * 100} AS v
+    FROM s{k - 1} a {at('r', 0, 1)} {at('l', 0, n - 1)} {at('b', 1, 0)} {at('t', n - 1, 0)})"""
+
+
+@query(
+    "WITH s0 AS (SELECT (id // 16)::INTEGER AS i, (id % 16)::INTEGER AS j, 0.1::DOUBLE * (id // 16) AS eta, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM range(256) t(id)), "
+    + ", ".join(_water_sql(k, 16) for k in (1, 2, 3))
+    + " SELECT i, j, round(eta, 9) + 0.0 AS eta, round(u, 9) + 0.0 AS u, round(v, 9) + 0.0 AS v FROM s3"
+)
 def shallow_water_run(spark, d):
     run = T.states(T.still_water(spark, 16), lambda g: G.shallow_water_step(g, 16), every=100)
     for _ in range(3):
         next(run)
-    return next(run)
+    return next(run).select("i", "j", *[r(c, 9).alias(c) for c in ("eta", "u", "v")])
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
