@@ -118,7 +118,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if its files, by their size, make scan tasks for less than half of the cores; else as it is.
+    """df dealt to all cores if its files, by their size, make scan tasks for less than a quarter of the cores; else as it is.
 
     For work that takes much longer than moving the rows.
     """
@@ -126,4 +126,4 @@ def spread(df: DataFrame) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * size < split * cores else df
+    return df.repartition(cores) if 4 * size < split * cores else df
