@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import doc_key, table
 
 #: Histogram bins per node and pass; what reaches the driver is at most leaves * BINS sums.
-BINS = 512
+BINS = 2048
 #: A split is settled once the histogram bin that holds the median weighs less than this share of a leaf.
 TOLERANCE = 0.002
 #: Leaves of one tree, at most: each is a branch of the expression that routes rows. More shards than that are made in two steps.
@@ -23,6 +23,8 @@ MAX_LEAVES = 4096
 class Node:
     first: int
     leaves: int
+    weight: float = 0.0
+    box: list = field(default_factory=list)  # (low, high) of each dimension
     dim: int = 0
     cut: float = 0.0
     kids: list = field(default_factory=list)
@@ -44,24 +46,27 @@ def _open(node: Node) -> list[Node]:
 
 
 def kd_tree(rows: DataFrame, n_dims: int, shards: int) -> Node:
-    """Grows the tree level by level over rows (size and one column per dimension); all nodes of a level share each pass."""
+    """Grows the tree level by level over rows (size and one column per dimension).
+
+    All nodes of a level share each pass: weights by bins of the widest side of
+    the node's box, then finer bins inside the one that holds the median.
+    """
     if not 1 <= shards <= MAX_LEAVES:
         raise ValueError(f"a tree has 1 to {MAX_LEAVES} leaves, not {shards}")
-    root = Node(0, shards)
-    whole = rows.agg(*[f(_key(d)) for d in range(n_dims) for f in (F.min, F.max)]).first()
-    width = [(whole[2 * d + 1] - whole[2 * d]) if whole[0] is not None else 0.0 for d in range(n_dims)]
+    whole = rows.agg(F.sum("size"), *[f(_key(d)) for d in range(n_dims) for f in (F.min, F.max)]).first()
+    if whole[0] is None:
+        return _halved(Node(0, shards))
+    root = Node(0, shards, weight=whole[0], box=[(whole[2 * d + 1], whole[2 * d + 2]) for d in range(n_dims)])
+    width = [(high - low) or 1.0 for low, high in root.box]
     while level := [x for x in _open(root) if x.leaves > 1]:
         at = {x.first: x for x in level}
         spread = rows.withColumn("node", _route(root, lambda x: x.first if x.leaves > 1 else -1)).where("node >= 0")
-        stats = {r["node"]: r for r in spread.groupBy("node").agg(F.sum("size").alias("w"), *[f(_key(d)).alias(f"{n}{d}") for d in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]).collect()}
         search = {}
         for k, x in at.items():
-            left = x.leaves // 2
-            if k in stats:
-                s = stats[k]
-                x.dim = max(range(n_dims), key=lambda d: (s[f"hi{d}"] - s[f"lo{d}"]) / (width[d] or 1.0))
-                # lo, hi: the cut lies in here; below: weight under lo
-                search[k] = {"lo": s[f"lo{x.dim}"], "hi": s[f"hi{x.dim}"], "below": 0, "goal": s["w"] * left / x.leaves, "leaf": s["w"] / x.leaves}
+            x.dim = max(range(n_dims), key=lambda d: (x.box[d][1] - x.box[d][0]) / width[d])
+            # lo, hi: the cut lies in here; below: weight under lo
+            low, high = x.box[x.dim]
+            search[k] = {"lo": low, "hi": high, "below": 0, "goal": x.weight * (x.leaves // 2) / x.leaves, "leaf": x.weight / x.leaves}
         cuts = {}
         for _ in range(12):
             if not search:
@@ -81,24 +86,29 @@ def kd_tree(rows: DataFrame, n_dims: int, shards: int) -> Node:
             for r in cell.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
                 bins.setdefault(r["node"], []).append(r)
             for k, q in list(search.items()):
-                below = q["below"]
-                for r in sorted(bins[k], key=lambda r: r["bin"]):
+                below, r = q["below"], None
+                for r in sorted(bins.get(k, []), key=lambda r: r["bin"]):
                     if below + r["w"] >= q["goal"]:
                         break
                     below += r["w"]
-                if r["lo"] == r["hi"] or r["w"] <= TOLERANCE * q["leaf"] or r["n"] == 1:
+                if r is None:  # a node without rows
+                    cuts[k] = (q["lo"], 0)
+                    del search[k]
+                elif r["lo"] == r["hi"] or r["w"] <= TOLERANCE * q["leaf"] or r["n"] == 1:
                     # the bin goes whole to the side where it leaves the smaller error
                     over = below + r["w"] - q["goal"] < q["goal"] - below
-                    cuts[k] = float(_after(r["hi"]) if over else r["lo"])
+                    cuts[k] = (float(_after(r["hi"])), below + r["w"]) if over else (float(r["lo"]), below)
                     del search[k]
                 else:
                     q.update(lo=r["lo"], hi=r["hi"], below=below)
         for k, q in search.items():
-            cuts[k] = float(q["hi"])
+            cuts[k] = (float(q["hi"]), q["goal"])
         for k, x in at.items():
             left = x.leaves // 2
-            x.cut = cuts.get(k, 0.0)
-            x.kids = [Node(x.first, left), Node(x.first + left, x.leaves - left)]
+            x.cut, weight = cuts[k]
+            low, high = x.box[x.dim]
+            box = lambda side: [side if d == x.dim else b for d, b in enumerate(x.box)]
+            x.kids = [Node(x.first, left, weight=weight, box=box((low, x.cut))), Node(x.first + left, x.leaves - left, weight=x.weight - weight, box=box((x.cut, high)))]
     return root
 
 
@@ -110,6 +120,14 @@ def shards_for(rows: DataFrame, shards: int | None, target_bytes: int | None) ->
     return shards
 
 
+def _halved(node: Node) -> Node:
+    """A tree for no rows."""
+    if node.leaves > 1:
+        left = node.leaves // 2
+        node.kids = [_halved(Node(node.first, left)), _halved(Node(node.first + left, node.leaves - left))]
+    return node
+
+
 def _after(x: float) -> float:
     return math.nextafter(x, math.inf)
 
