@@ -54,7 +54,7 @@ SENT_ROWS = 50_000
 
 
 def sent_if_small(written: DataFrame) -> DataFrame:
-    """A table that table() wrote, marked for broadcast if its counted rows are few; a larger one is joined by shuffle."""
+    """A table that table() wrote, or a part of one, marked for broadcast if its counted rows are few; a larger one is joined by shuffle."""
     return F.broadcast(written) if written.limit(SENT_ROWS + 1).count() <= SENT_ROWS else written
 
 
