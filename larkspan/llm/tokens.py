@@ -40,7 +40,7 @@ MAGIC = b"LKR1"
 HEAD = "<4sIQIII"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words, and parts of words, whose ids a worker keeps.
-KEPT = 400_000
+KEPT, KEPT_PARTS = 400_000, 800_000
 
 
 def coder(path: str):
@@ -110,7 +110,7 @@ def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
         for k in hs:
             f[k] = pieces[ws[k]]
         f.append(end)
-    cores.update(islice(here.items(), max(0, KEPT - len(cores))))
+    cores.update(islice(here.items(), max(0, KEPT_PARTS - len(cores))))
     known.update(islice(pieces.items(), max(0, KEPT - len(known))))
     return list(map(b"".join, found))
 
