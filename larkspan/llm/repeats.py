@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sent_if_small, table
 
 META = "anchor long, same long, did long, loc long"
 #: Different blocks with one anchor that a task compares; beyond it their windows are dealt one by one.
@@ -70,6 +70,20 @@ def classes(shared: DataFrame) -> DataFrame:
     return table(shared.groupBy("anchor", "same").agg(F.count("*").alias("n"), first).select("anchor", "same", "n", "first.did", "first.at", "first.loc"), "classes")
 
 
+def with_class(shared: DataFrame, copied: DataFrame, *carried: str) -> DataFrame:
+    """The blocks whose class is in copied (anchor, same, n, ...), with the carried columns of the class.
+
+    Classes with over HOT blocks come first, sent to every task where they are
+    few, so that thousands of equal blocks need not meet in one; the other
+    blocks are joined by shuffle.
+    """
+    keys = ["anchor", "same"]
+    hot = sent_if_small(copied.where(F.col("n") > HOT).select(*keys, *carried, F.lit(True).alias("_hot")))
+    tagged = shared.join(hot, keys, "left")
+    rest = tagged.where("_hot IS NULL").select(*shared.columns).join(copied.where(F.col("n") <= HOT).select(*keys, *carried), keys)
+    return tagged.where("_hot").drop("_hot").unionByName(rest)
+
+
 def rivals(kinds: DataFrame) -> DataFrame:
     """did, tk and its blocks (anchor, loc, hot) whose anchor has blocks that differ: first of their class each."""
     many = table(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "rivals")

@@ -204,8 +204,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """did, tk, at, n: runs of windows whose bytes also start elsewhere."""
     shared = R.shared_blocks(keyed(docs).mapInArrow(_describe(window, gram), R.META))
     kinds = R.classes(shared)
-    copied = kinds.where("n > 1").select("anchor", "same")
-    copies = shared.join(sent_if_small(copied), ["anchor", "same"]).select("did", F.expr(R.TK), F.expr(R.AT), F.expr(R.COUNT))
+    copies = R.with_class(shared, kinds.where("n > 1")).select("did", F.expr(R.TK), F.expr(R.AT), F.expr(R.COUNT))
     packed = table(packed_texts(docs).join(R.rivals(kinds), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window, gram), PACKED), "packed")
     cold = packed.where("NOT hot").repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_sort(window), R.HITS)
     hot = packed.where("hot").select("lead", "anchor", "did", F.expr(R.TK), F.expr(R.AT))

@@ -122,8 +122,8 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     """did, tk, at, n: runs of windows whose words also start earlier (smaller id, or same id and earlier)."""
     shared = R.shared_blocks(keyed(docs).mapInArrow(_describe(window, gram), R.META))
     kinds = R.classes(shared)
-    copied = kinds.where("n > 1").select("anchor", "same", F.col("did").alias("did0"), F.col("at").alias("at0"))
-    copies = shared.join(sent_if_small(copied), ["anchor", "same"]).select("did", F.expr(R.TK), F.expr(R.AT), F.expr(R.COUNT), "did0", "at0").where("did > did0 OR (did = did0 AND at > at0)").select("did", "tk", "at", "n")
+    copied = kinds.where("n > 1").select("anchor", "same", "n", F.col("did").alias("did0"), F.col("at").alias("at0"))
+    copies = R.with_class(shared, copied, "did0", "at0").select("did", F.expr(R.TK), F.expr(R.AT), F.expr(R.COUNT), "did0", "at0").where("did > did0 OR (did = did0 AND at > at0)").select("did", "tk", "at", "n")
     packed = table(packed_texts(docs).join(R.rivals(kinds), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window), PACKED), "packed")
     cold = packed.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_count(window), R.HITS)
     hot = packed.where("hot").select("packed", "did", "loc", F.expr(R.TK), F.expr(R.AT))
