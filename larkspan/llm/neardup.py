@@ -1,26 +1,32 @@
-"""Near-duplicate texts: candidates by SimHash and covering masks, links by the exact similarity of word shingles.
+"""Near-duplicate texts: candidates by SimHash and by MinHash, links by the exact similarity of word shingles.
 
 Fingerprints here weigh each word by 1 + ln(times), so that a few edits move
-few bits; what they connect within the radius is only a candidate component.
-Inside it texts are linked by the Jaccard similarity of their sets of word
-shingles, computed exactly in tasks of bounded size.
+few bits; added or cut text moves more bits than the radius, so texts also meet
+by the minima of their shingles' hashes. What both connect is only a candidate
+component. Inside it texts are linked by the Jaccard similarity of their sets of
+word shingles, computed exactly in tasks of bounded size.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected_components, doc_key, keyed, packed_texts, table, unpack
+from .common import as_bytes, connected_components, doc_key, keyed, packed_texts, sent_if_small, table, unpack
 from .embeddings import forest
+from .repeats import HOT, mixed
 from .simhash import links, shingle_hashes
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 6
 #: Texts that a task compares with each other.
 CHUNK = 256
+#: Minima in a band's key, and the odds at which a pair of exactly the wanted similarity may share no key.
+MINIMA, MISSED = 5, 1e-9
 
 
 def weighed_print(text: bytes) -> int:
@@ -37,12 +43,51 @@ def weighed_print(text: bytes) -> int:
     return int(((2 * total > weight.sum()).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def _describe(batches):
-    for b in batches:
-        texts = [t or b"" for t in as_bytes(b.column(2))]
-        digest = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for t in texts], np.uint64).reshape(-1, 2)
-        fp = np.array([weighed_print(t) for t in texts], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (digest[:, 0], digest[:, 1], fp)]], names=["did", "tk", "t1", "t2", "fp"])
+def bands(least: float) -> int:
+    """Keys of a text: a pair of similarity `least` shares each with odds least^MINIMA, so it shares none with odds of at most MISSED."""
+    return 1 if least >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(least**MINIMA)))
+
+
+def band_keys(hashes: np.ndarray, n: int) -> np.ndarray:
+    """n keys, each of the minima of the hashes in MINIMA orders; texts without shingles have the same keys."""
+    seeds = mixed(np.arange(1, 2 * n * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
+    low = np.full(n * MINIMA, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 256):
+        low = np.minimum(low, ((hashes[at : at + 256, None] ^ seeds[0]) * (seeds[1] | np.uint64(1))).min(0))
+    key = np.arange(n, dtype=np.uint64)
+    for column in low.reshape(n, MINIMA).T:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key
+
+
+TEXTS = "did long, tk int, t1 long, t2 long, fp long, keys array<long>"
+
+
+def _describe(words: int, n: int):
+    def run(batches):
+        for b in batches:
+            texts = [t or b"" for t in as_bytes(b.column(2))]
+            digest = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for t in texts], np.uint64).reshape(-1, 2)
+            fp = np.array([weighed_print(t) for t in texts], np.uint64)
+            keys = pa.array([band_keys(np.unique(shingle_hashes(t, words)), n).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (digest[:, 0], digest[:, 1], fp)], keys], names=[x.split()[0] for x in TEXTS.split(", ")])
+
+    return run
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """head, other: the nodes of each key, linked to its smallest. nodes: head, keys.
+
+    Keys of over HOT nodes are sent to every task where they are few, so that
+    thousands of near copies need not meet in one; the others are joined by shuffle.
+    """
+    rows = nodes.select("head", F.explode("keys").alias("key"))
+    first = table(rows.groupBy("key").agg(F.min("head").alias("low"), F.count("*").alias("n")).where("n > 1"), "bands")
+    hot = sent_if_small(first.where(F.col("n") > HOT).select("key", "low", F.lit(True).alias("hot")))
+    tagged = rows.join(hot, "key", "left")
+    rest = tagged.where("hot IS NULL").select("head", "key").join(first.where(F.col("n") <= HOT).select("key", "low"), "key")
+    found = tagged.where("hot").select("low", "head").unionByName(rest.select("low", "head"))
+    return table(found.where("low <> head").select(F.col("low").alias("head"), F.col("head").alias("other")).distinct(), "links")
 
 
 def similar(texts: list[bytes], words: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +152,10 @@ def verified(members: DataFrame, words: int, least: float) -> DataFrame:
 
 def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """did, tk, root of every row of docs: root is the smallest id of the row's near-duplicate group."""
-    texts = table(keyed(docs).mapInArrow(_describe, "did long, tk int, t1 long, t2 long, fp long"), "texts")
-    nodes = table(texts.groupBy("t1", "t2", "tk", "fp").agg(F.min("did").alias("head")), "nodes")
-    near = table(connected_components(links(nodes.select("fp", "head"), radius), "head", "other").select("node", "root"), "candidates")
+    texts = table(keyed(docs).mapInArrow(_describe(words, bands(least)), TEXTS), "texts")
+    nodes = table(texts.groupBy("t1", "t2", "tk", "fp").agg(F.min("did").alias("head"), F.first("keys").alias("keys")), "nodes")
+    met = links(nodes.select("fp", "head"), radius).unionByName(band_links(nodes))
+    near = table(connected_components(met, "head", "other").select("node", "root"), "candidates")
     sizes = table(near.groupBy("root").agg(F.count("*").alias("m")), "sizes")
     wanted = near.join(sizes, "root").join(nodes.select(F.col("head").alias("node"), "tk"), "node").select("root", "node", "m", "tk")
     members = packed_texts(docs).join(wanted.withColumnRenamed("node", "did"), ["did", "tk"]).select("root", F.col("did").alias("node"), "m", "n_bytes", "z")

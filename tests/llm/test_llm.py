@@ -213,6 +213,20 @@ def test_near_duplicates(spark, monkeypatch, chunk):
     assert neardup.deduplicate(corpus.empty(spark)).count() == 0
 
 
+def test_added_and_cut_text_is_found(spark):
+    rnd = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        w = [f"w{x}" for x in rnd.zipf(1.4, int(rnd.integers(60, 300))) % 3000]
+        n = len(w)
+        rows.append((k, " ".join(w)))
+        rows.append((100 + k, " ".join(w[: n - n // 6] if k % 2 else w + [f"v{x}" for x in rnd.integers(0, 3000, n // 5)])))
+    near = [k for k in range(60) if brute.jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8]
+    assert len(near) > 40
+    got = {r.doc_id for r in neardup.deduplicate(corpus.frame(spark, rows)).collect()}
+    assert got == {i for i, _ in rows} - {100 + k for k in near}
+
+
 # Decontamination
 
 
