@@ -4,6 +4,8 @@ Numbers, names and units of a text become typed placeholders; windows of the
 remaining template are hash-joined with those of the benchmark, and along each
 alignment the values in the placeholders must correspond one to one, so that a
 question with other names and numbers is found and a mere look-alike is not.
+Items that windows of the template cannot be sure to find, short ones and those
+of names and numbers, are also looked for by their exact words.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .common import as_bytes, doc_id, doc_key, table
 
 #: Template words of a window; an item with fewer is one window. At least half of a window are words, not placeholders.
 WINDOW = 8
-#: Items with fewer words are not looked for.
+#: Items with fewer words have no template; they are looked for by their exact words.
 LEAST = 4
 #: A benchmark of at most so many bytes of text is sent to each task; a larger one is joined by shuffled window hashes.
 SENT_BYTES = 32 << 20
@@ -61,8 +63,8 @@ class Lexicon(dict):
         self[word] = at = len(self)
         return at
 
-    def template(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token and kind of each word; capitals count as names within a sentence only."""
+    def template(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Token, kind and exact token of each word, and whether the first has a capital; capitals count as names within a sentence only."""
         if len(self) > KEPT:
             self.clear()
             self.__init__()
@@ -70,10 +72,11 @@ class Lexicon(dict):
         kind = np.frombuffer(self.kind, np.int8)[at]
         stop = np.frombuffer(self.stop, np.int8)[at]
         token = np.frombuffer(self.hash, np.uint64)[at]
+        capital = bool(len(words)) and kind[0] == CAPITAL
         if len(words):
             begins = np.append(1, stop[:-1]).astype(bool)
             kind = np.where((kind == CAPITAL) & begins, WORD, kind)
-        return np.where(kind == WORD, token, PLACEHOLDERS[kind]), kind
+        return np.where(kind == WORD, token, PLACEHOLDERS[kind]), kind, token, capital
 
 
 def windows(token: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +92,40 @@ def windows(token: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np
     return at, h[at]
 
 
+def item_windows(known: Lexicon, words: list[bytes], n: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """An item's windows: (length, places, hashes, kinds); a negative length marks windows of exact words.
+
+    A document may have anything before the item, also within a line or a
+    sentence, so a first word with a capital is taken both as a word and as a
+    name. Exact windows are given where a verbatim copy might have no window of
+    the template otherwise.
+    """
+    if not words:
+        return []
+    token, kind, exact, capital = known.template(words)
+    length = min(n, len(words))
+    out, sure = [], False
+    if len(words) >= LEAST:
+        at, h = windows(token, kind, length)
+        out.append((length, at, h, kind))
+        sure = bool((at > 0).any()) or (len(at) > 0 and not capital)
+        if capital:
+            token, kind = token.copy(), kind.copy()
+            token[0], kind[0] = PLACEHOLDERS[CAPITAL], CAPITAL
+            first, h = windows(token[:length], kind[:length], length)
+            out.append((length, first, h, kind))
+            sure = sure or (len(at) > 0 and len(first) > 0)
+    if not sure:
+        at, h = windows(exact, np.zeros(len(words), np.int8), length)
+        out.append((-length, at, h, np.zeros(len(words), np.int8)))
+    return out
+
+
+def document_windows(token: np.ndarray, kind: np.ndarray, exact: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of a document's windows of one length, as in item_windows."""
+    return windows(token, kind, n) if n > 0 else windows(exact, np.zeros(len(exact), np.int8), -n)
+
+
 def slot(word: bytes) -> bytes:
     return word.strip(PUNCTUATION).lower() or word
 
@@ -98,8 +135,17 @@ def aligned(pairs: list[tuple], item_words: int) -> tuple[int, float, int]:
 
     pairs: (place in the document, place in the item, length, [slot places], [document's slots], [item's slots]).
     Windows of one alignment must map the item's values to the document's one to one; a window that breaks the map does not hold, and an alignment holds if at least half of its windows do.
+    Windows of exact words, of negative length, hold if all of the item's do.
     """
     best = (0, 0.0, 0)
+    exact: dict = {}
+    for p in pairs:
+        if p[2] < 0:
+            exact.setdefault(p[0] - p[1], set()).add(p[1])
+    for found in exact.values():
+        if len(found) == item_words + 1 - min(-p[2] for p in pairs if p[2] < 0):
+            best = max(best, (len(found), 1.0, 0))
+    pairs = [p for p in pairs if p[2] > 0]
     for shift in {p[0] - p[1] for p in pairs}:
         there, back, seen, held, other = {}, {}, set(), 0, set()
         here = sorted((p for p in pairs if p[0] - p[1] == shift), key=lambda p: p[1])
@@ -115,22 +161,21 @@ def aligned(pairs: list[tuple], item_words: int) -> tuple[int, float, int]:
 
 
 def index(items: list[tuple], n: int) -> tuple[dict, list]:
-    """Windows of the benchmark by length: (sorted hashes, item, place); and each item's (id, slot values, kinds)."""
+    """Windows of the benchmark by length: (sorted hashes, item, place); and each item's (id, slot values)."""
     known, found, rows = Lexicon(), {}, []
     for item_id, text in items:
         words = (text or b"").split()
-        if len(words) < LEAST:
+        if not words:
             continue
-        token, kind = known.template(words)
-        length = min(n, len(words))
-        at, h = windows(token, kind, length)
-        found.setdefault(length, []).append((h, np.full(len(h), len(rows)), at))
-        rows.append((item_id, [slot(w) for w in words], kind))
+        for length, at, h, _ in item_windows(known, words, n):
+            found.setdefault(length, []).append((h, np.full(len(h), len(rows)), at))
+        rows.append((item_id, [slot(w) for w in words]))
     out = {}
     for length, parts in found.items():
         h, item, at = (np.concatenate(x) for x in zip(*parts))
         by = np.argsort(h, kind="stable")
-        out[length] = h[by], item[by], at[by]
+        if len(h):
+            out[length] = h[by], item[by], at[by]
     return out, rows
 
 
@@ -145,16 +190,16 @@ def _match_sent(sent: tuple[dict, list]):
             out: list = [[], [], [], [], []]
             for did, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
                 words = (text or b"").split()
-                if len(words) < LEAST:
+                if not words:
                     continue
-                token, kind = known.template(words)
+                token, kind, exact, _ = known.template(words)
                 pairs: dict = {}
                 for n, (hashes, item, place) in by_length.items():
-                    at, h = windows(token, kind, n)
+                    at, h = document_windows(token, kind, exact, n)
                     lo = np.searchsorted(hashes, h)
                     for k in np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == h):
                         p, j = int(at[k]), int(lo[k])
-                        slots = np.flatnonzero(kind[p : p + n] != WORD).tolist()
+                        slots = np.flatnonzero(kind[p : p + n] != WORD).tolist() if n > 0 else []
                         mine = [slot(words[p + s]) for s in slots]
                         while j < len(hashes) and hashes[j] == h[k]:
                             i, q = int(item[j]), int(place[j])
@@ -175,7 +220,7 @@ WINDOWS = "id long, words long, h long, n int, at long, slots array<int>, found
 
 
 def _spread(lengths: list[int] | None, n: int):
-    """Rows of all windows: of the given lengths, or of the one length that a benchmark item has."""
+    """Rows of all windows: a document's of the given lengths, or a benchmark item's own ones."""
 
     def run(batches):
         known = Lexicon()
@@ -183,12 +228,16 @@ def _spread(lengths: list[int] | None, n: int):
             out: list = [[] for _ in range(7)]
             for i, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
                 words = (text or b"").split()
-                if len(words) < LEAST:
+                if not words:
                     continue
-                token, kind = known.template(words)
-                for length in lengths or [min(n, len(words))]:
-                    for p, h in zip(*(x.tolist() for x in (lambda a, h: (a, h.view(np.int64)))(*windows(token, kind, length)))):
-                        slots = np.flatnonzero(kind[p : p + length] != WORD).tolist()
+                if lengths is None:
+                    parts = item_windows(known, words, n)
+                else:
+                    token, kind, exact, _ = known.template(words)
+                    parts = [(length, *document_windows(token, kind, exact, length), kind) for length in lengths]
+                for length, at, hashes, kind in parts:
+                    for p, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
+                        slots = np.flatnonzero(kind[p : p + length] != WORD).tolist() if length > 0 else []
                         for o, v in zip(out, (i, len(words), h, length, p, slots, [slot(words[p + s]) for s in slots])):
                             o.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
@@ -214,8 +263,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes:
 
     The benchmark's size decides, by its measured bytes, whether its window
     hashes go to every task or both sides' windows are shuffled by hash; the
-    results are the same. Null or empty texts, and items of fewer than LEAST
-    words, match nothing; repeated items and documents match each on their own.
+    results are the same. Items without a window of the template, those of
+    fewer than LEAST words too, match documents that hold all their words,
+    whatever their case and the punctuation around them. Null or empty texts
+    match nothing; repeated items and documents match each on their own.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = spread(docs.select(doc_key().alias("did"), "text"))
@@ -224,7 +275,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes:
         sent = index([(r["item_id"], r["text"].encode()) for r in items.collect()], n)
         return texts.mapInArrow(_match_sent(sent), MATCH)
     theirs = table(items.mapInArrow(_spread(None, n), WINDOWS), "benchmark")
-    lengths = [r["n"] for r in theirs.select("n").distinct().collect()]  # at most WINDOW values
+    lengths = [r["n"] for r in theirs.select("n").distinct().collect()]  # at most 2 x WINDOW values
     mine = texts.mapInArrow(_spread(lengths, n), WINDOWS)
     right = theirs.select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), "h", "n", F.col("at").alias("place"), F.col("found").alias("theirs"))
     both = mine.join(right, ["h", "n"])

@@ -250,6 +250,16 @@ def test_templates(spark):
     assert templates.contaminated(corpus.frame(spark, docs), bench.where("item_id < 0")).count() == 0
 
 
+def test_verbatim_items_of_any_kind(spark):
+    items = ["John Smith met Mary Jones in New York City.", "Is 1234 5678 9012 3456 prime?", "Convert 5 km 300 m 20 cm to mm", "Barack Obama beat John McCain in November 2008", "How many apples does Tom have right now?", "Name Paris Rome", "Define entropy", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(10 * k + j, before + t + after) for k, t in enumerate(items) for j, (before, after) in enumerate([("", ""), ("Quiz\n", "\nAnswer"), ("so we read ", " and went on"), ("Done. ", " Then more")])]
+    docs += [(900, "John Smith met Mary Brown in New York City."), (901, "Is 1234 5678 9012 3457 prime?"), (902, "define the entropy"), (903, "1 2 3 4 5 6 7 8 9 10 11 13"), (904, "2 3 4 5 6 7 8 9 10 11 12")]
+    for sent in (1 << 20, 0):
+        got = rows_of(templates.contaminated(corpus.frame(spark, docs), bench, sent_bytes=sent), "doc_id", "item_id")
+        assert got == sorted(((10 * k + j, k) for k in range(len(items)) for j in range(4)), key=str)
+
+
 def test_planted_passages_are_found_in_both_ways(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     a = rows_of(templates.contaminated(docs, bench))
