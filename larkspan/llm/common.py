@@ -67,6 +67,11 @@ def doc_id(col: str | F.Column) -> F.Column:
     return F.when(c != NO_ID, c)
 
 
+def text_key(col: str = "text") -> F.Column:
+    """64 bits of the text's hash; a null text is an empty one. With the id it tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
+
+
 def as_bytes(column: pa.Array) -> list:
     """A text column of an Arrow batch as a list of UTF-8 bytes or None."""
     if isinstance(column, pa.ChunkedArray):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from .common import as_bytes, doc_id, doc_key, table
+from .common import as_bytes, doc_id, doc_key, table, text_key
 
 #: Template words of a window; an item with fewer is one window. At least half of a window are words, not placeholders.
 WINDOW = 8
@@ -179,7 +179,12 @@ def index(items: list[tuple], n: int) -> tuple[dict, list]:
     return out, rows
 
 
-MATCH = "did long, item_id long, windows long, coverage double, changed_slots long"
+MATCH = "did long, tk long, item_id long, windows long, coverage double, changed_slots long"
+
+
+def _match_batch(out: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=[c.split()[0] for c in MATCH.split(", ")])
 
 
 def _match_sent(sent: tuple[dict, list]):
@@ -187,8 +192,8 @@ def _match_sent(sent: tuple[dict, list]):
         by_length, rows = sent
         known = Lexicon()
         for b in batches:
-            out: list = [[], [], [], [], []]
-            for did, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+            out: list = [[] for _ in range(6)]
+            for did, tk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 words = (text or b"").split()
                 if not words:
                     continue
@@ -208,15 +213,14 @@ def _match_sent(sent: tuple[dict, list]):
                 for i, found in pairs.items():
                     held, cover, changed = aligned(found, len(rows[i][1]))
                     if held:
-                        for o, v in zip(out, (did, rows[i][0], held, cover, changed)):
+                        for o, v in zip(out, (did, tk, rows[i][0], held, cover, changed)):
                             o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["did", "item_id", "windows", "coverage", "changed_slots"])
+            yield _match_batch(out)
 
     return run
 
 
-WINDOWS = "id long, words long, h long, n int, at long, slots array<int>, found array<binary>"
+WINDOWS = "id long, tk long, words long, h long, n int, at long, slots array<int>, found array<binary>"
 
 
 def _spread(lengths: list[int] | None, n: int):
@@ -225,8 +229,8 @@ def _spread(lengths: list[int] | None, n: int):
     def run(batches):
         known = Lexicon()
         for b in batches:
-            out: list = [[] for _ in range(7)]
-            for i, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+            out: list = [[] for _ in range(8)]
+            for i, tk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 words = (text or b"").split()
                 if not words:
                     continue
@@ -238,9 +242,9 @@ def _spread(lengths: list[int] | None, n: int):
                 for length, at, hashes, kind in parts:
                     for p, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
                         slots = np.flatnonzero(kind[p : p + length] != WORD).tolist() if length > 0 else []
-                        for o, v in zip(out, (i, len(words), h, length, p, slots, [slot(words[p + s]) for s in slots])):
+                        for o, v in zip(out, (i, tk, len(words), h, length, p, slots, [slot(words[p + s]) for s in slots])):
                             o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=[c.split()[0] for c in WINDOWS.split(", ")])
 
     return run
@@ -248,18 +252,17 @@ def _spread(lengths: list[int] | None, n: int):
 
 def _align(batches):
     for b in batches:
-        out: list = [[], [], [], [], []]
-        for did, item_id, n, found in zip(*(c.to_pylist() for c in b.columns)):
+        out: list = [[] for _ in range(6)]
+        for did, tk, item_id, n, found in zip(*(c.to_pylist() for c in b.columns)):
             held, cover, changed = aligned([(p["at"], p["place"], p["n"], p["slots"], p["mine"], p["theirs"]) for p in found], n)
             if held:
-                for o, v in zip(out, (did, item_id, held, cover, changed)):
+                for o, v in zip(out, (did, tk, item_id, held, cover, changed)):
                     o.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["did", "item_id", "windows", "coverage", "changed_slots"])
+        yield _match_batch(out)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """did, item_id, windows, coverage, changed_slots of each document and benchmark item that share a template.
+    """did, tk (a hash of the text), item_id, windows, coverage, changed_slots of each document and benchmark item that share a template.
 
     The benchmark's size decides, by its measured bytes, whether its window
     hashes go to every task or both sides' windows are shuffled by hash; the
@@ -269,18 +272,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes:
     match nothing; repeated items and documents match each on their own.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = spread(docs.select(doc_key().alias("did"), "text"))
+    texts = spread(docs.select(doc_key().alias("did"), text_key().alias("tk"), "text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= sent_bytes:
         sent = index([(r["item_id"], r["text"].encode()) for r in items.collect()], n)
         return texts.mapInArrow(_match_sent(sent), MATCH)
-    theirs = table(items.mapInArrow(_spread(None, n), WINDOWS), "benchmark")
+    theirs = table(items.select("item_id", F.lit(0).cast("long").alias("tk"), "text").mapInArrow(_spread(None, n), WINDOWS), "benchmark")
     lengths = [r["n"] for r in theirs.select("n").distinct().collect()]  # at most 2 x WINDOW values
     mine = texts.mapInArrow(_spread(lengths, n), WINDOWS)
     right = theirs.select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), "h", "n", F.col("at").alias("place"), F.col("found").alias("theirs"))
     both = mine.join(right, ["h", "n"])
-    pairs = both.groupBy("id", "item_id", "item_words").agg(F.collect_list(F.struct("at", "place", "n", "slots", F.col("found").alias("mine"), "theirs")).alias("found"))
-    return pairs.select("id", "item_id", "item_words", "found").mapInArrow(_align, MATCH)
+    pairs = both.groupBy("id", "tk", "item_id", "item_words").agg(F.collect_list(F.struct("at", "place", "n", "slots", F.col("found").alias("mine"), "theirs")).alias("found"))
+    return pairs.select("id", "tk", "item_id", "item_words", "found").mapInArrow(_align, MATCH)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -289,6 +292,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_by
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """The rows of docs, all columns, without those that hold a benchmark item or a re-parameterised one."""
-    gone = table(matches(docs, benchmark, n, sent_bytes).select(F.col("did").alias("__lk_did")).distinct(), "contaminated")
-    return docs.join(gone, doc_key() == F.col("__lk_did"), "left_anti")
+    """The rows of docs, all columns, without those that hold a benchmark item or a re-parameterised one; rows are told apart by id and text."""
+    gone = table(matches(docs, benchmark, n, sent_bytes).select(F.col("did").alias("__lk_did"), F.col("tk").alias("__lk_tk")).distinct(), "contaminated")
+    return docs.join(gone, (doc_key() == F.col("__lk_did")) & (text_key() == F.col("__lk_tk")), "left_anti")

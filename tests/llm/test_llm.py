@@ -260,6 +260,15 @@ def test_verbatim_items_of_any_kind(spark):
         assert got == sorted(((10 * k + j, k) for k in range(len(items)) for j in range(4)), key=str)
 
 
+def test_clean_removes_rows_not_ids(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    rows = [(None, f"a clean text of its own, number {k}, about nothing in particular") for k in range(5)] + [(None, "see: " + item), (3, item), (3, "another text with a repeated id and no item in it at all"), (4, None), (None, None)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for sent in (1 << 20, 0):
+        kept = rows_of(templates.clean(corpus.frame(spark, rows), bench, sent_bytes=sent), "doc_id", "text")
+        assert kept == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+
+
 def test_planted_passages_are_found_in_both_ways(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     a = rows_of(templates.contaminated(docs, bench))
