@@ -81,7 +81,7 @@ def as_bytes(column: pa.Array) -> list:
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """did, tk (16 bits of the text's hash, so that rows which share an id stay apart), n_bytes, z (the text, zstd)."""
+    """did, tk (64 bits of the text's hash, so that rows which share an id stay apart), n_bytes, z (the text, zstd)."""
 
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
@@ -92,13 +92,12 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 names=["did", "tk", "n_bytes", "z"],
             )
 
-    return keyed(docs).mapInArrow(run, "did long, tk int, n_bytes long, z binary")
+    return keyed(docs).mapInArrow(run, "did long, tk long, n_bytes long, z binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """did, tk, text of documents; a null text is an empty one."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return spread(docs.select("doc_id", "text")).select(doc_key().alias("did"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("tk"), text.alias("text"))
+    return spread(docs.select("doc_id", "text")).select(doc_key().alias("did"), text_key().alias("tk"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def unpack(z: bytes, n: int) -> bytes:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected_components, doc_key, keyed, packed_texts, sent_if_small, table, unpack
+from .common import as_bytes, connected_components, doc_key, keyed, packed_texts, sent_if_small, table, text_key, unpack
 from .embeddings import forest
 from .repeats import HOT, mixed
 from .simhash import links, shingle_hashes
@@ -60,7 +60,7 @@ def band_keys(hashes: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-TEXTS = "did long, tk int, t1 long, t2 long, fp long, keys array<long>"
+TEXTS = "did long, tk long, t1 long, t2 long, fp long, keys array<long>"
 
 
 def _describe(words: int, n: int):
@@ -174,8 +174,7 @@ def deduplicate(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
     """
     found = table(groups(docs, words, least, radius), "groups")
     gone = found.where("did <> root").select(F.col("did").alias("__lk_did"), F.col("tk").alias("__lk_tk")).distinct()
-    tk = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(0xFFFF).cast("int")
-    kept = docs.join(gone, (doc_key() == F.col("__lk_did")) & (tk == F.col("__lk_tk")), "left_anti")
+    kept = docs.join(gone, (doc_key() == F.col("__lk_did")) & (text_key() == F.col("__lk_tk")), "left_anti")
     if not found.where("did = root").groupBy("did", "t1", "t2").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept

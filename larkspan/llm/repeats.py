@@ -7,8 +7,9 @@ equal minimisers at the same place, so only blocks whose minimiser occurs more
 than once can hold repeated windows.
 
 A block is anchor (hash of its minimiser), same (hash of all it holds; equal
-where anchor and same are), did, and loc: 16 bits of the text's hash, 32 bits of
-its first window's place, 16 bits of its count of windows.
+where anchor and same are), did and tk (64 bits of the text's hash), which name
+its text, and loc: its first window's place and, in the last 16 bits, its count
+of windows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import sent_if_small, table
 
-META = "anchor long, same long, did long, loc long"
+META = "anchor long, same long, did long, tk long, loc long"
 #: Different blocks with one anchor that a task compares; beyond it their windows are dealt one by one.
 HOT = 512
 
@@ -38,24 +39,23 @@ def run_starts(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(p)))
 
 
-def packed_loc(tk: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (np.uint64(tk << 48) | (first.astype(np.uint64) << np.uint64(16)) | count.astype(np.uint64)).view(np.int64)
+def packed_loc(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return first.astype(np.int64) << 16 | count.astype(np.int64)
 
 
-def unpacked_loc(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    u = np.asarray(loc, np.int64).view(np.uint64)
-    return (u >> np.uint64(48)).astype(np.int32), ((u >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.int64), (u & np.uint64(0xFFFF)).astype(np.int64)
+def unpacked_loc(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    loc = np.asarray(loc, np.int64)
+    return loc >> 16, loc & 0xFFFF
 
 
 #: The parts of loc, for F.expr.
-TK = "cast(shiftrightunsigned(loc, 48) AS int) AS tk"
-AT = "shiftright(loc, 16) & 4294967295 AS at"
+AT = "shiftright(loc, 16) AS at"
 COUNT = "cast(loc & 65535 AS int) AS n"
 
 
-def meta_batch(anchor: list, same: list, did: list, loc: list) -> pa.RecordBatch:
+def meta_batch(anchor: list, same: list, did: list, tk: list, loc: list) -> pa.RecordBatch:
     cat = lambda x, kind: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, kind))
-    return pa.RecordBatch.from_arrays([cat(anchor, np.int64), cat(same, np.int64), cat(did, np.int64), cat(loc, np.int64)], names=["anchor", "same", "did", "loc"])
+    return pa.RecordBatch.from_arrays([cat(anchor, np.int64), cat(same, np.int64), cat(did, np.int64), cat(tk, np.int64), cat(loc, np.int64)], names=["anchor", "same", "did", "tk", "loc"])
 
 
 def shared_blocks(meta: DataFrame) -> DataFrame:
@@ -65,9 +65,9 @@ def shared_blocks(meta: DataFrame) -> DataFrame:
 
 
 def classes(shared: DataFrame) -> DataFrame:
-    """One row for equal blocks: anchor, same, n, and did, at, loc of the first of them."""
-    first = F.min(F.struct("did", F.expr(AT), "loc")).alias("first")
-    return table(shared.groupBy("anchor", "same").agg(F.count("*").alias("n"), first).select("anchor", "same", "n", "first.did", "first.at", "first.loc"), "classes")
+    """One row for equal blocks: anchor, same, n, and did, at, tk, loc of the first of them."""
+    first = F.min(F.struct("did", F.expr(AT), "tk", "loc")).alias("first")
+    return table(shared.groupBy("anchor", "same").agg(F.count("*").alias("n"), first).select("anchor", "same", "n", "first.did", "first.at", "first.tk", "first.loc"), "classes")
 
 
 def with_class(shared: DataFrame, copied: DataFrame, *carried: str) -> DataFrame:
@@ -87,7 +87,7 @@ def with_class(shared: DataFrame, copied: DataFrame, *carried: str) -> DataFrame
 def rivals(kinds: DataFrame) -> DataFrame:
     """did, tk and its blocks (anchor, loc, hot) whose anchor has blocks that differ: first of their class each."""
     many = table(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "rivals")
-    found = kinds.join(many, "anchor").select("did", F.expr(TK), F.struct("anchor", "loc", (F.col("k") > HOT).alias("hot")).alias("block"))
+    found = kinds.join(many, "anchor").select("did", "tk", F.struct("anchor", "loc", (F.col("k") > HOT).alias("hot")).alias("block"))
     return found.groupBy("did", "tk").agg(F.collect_list("block").alias("blocks"))
 
 
@@ -105,11 +105,11 @@ def covered(starts: np.ndarray, counts: np.ndarray, window: int, n: int) -> np.n
     return np.cumsum(step)[:n] > 0
 
 
-HITS = "did long, tk int, at long, n int"
+HITS = "did long, tk long, at long, n int"
 
 
 def hit_batch(did: list, tk: list, at: list, n: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(tk, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int32())], names=["did", "tk", "at", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(tk, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32())], names=["did", "tk", "at", "n"])
 
 
 def gathered(hits: DataFrame) -> DataFrame:

@@ -82,20 +82,20 @@ def blocks(data: np.ndarray, window: int, gram: int):
 def _describe(window: int, gram: int):
     def run(batches):
         for b in batches:
-            out: list = [[], [], [], []]
+            out: list = [[], [], [], [], []]
             for did, tk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 if len(text) < window:
                     continue
                 for anchor, _, first, count in blocks(np.frombuffer(text, np.uint8), window, gram):
                     same = np.fromiter([xxhash.xxh3_64_intdigest(text[a : a + c + window - 1]) for a, c in zip(first.tolist(), count.tolist())], np.uint64, len(first))
-                    for x, y in zip(out, (anchor, same, np.full(len(first), did, np.int64), R.packed_loc(tk, first, count))):
+                    for x, y in zip(out, (anchor, same, np.full(len(first), did, np.int64), np.full(len(first), tk, np.int64), R.packed_loc(first, count))):
                         x.append(y)
             yield R.meta_batch(*out)
 
     return run
 
 
-PACKED = "lead binary, anchor long, did long, loc long, off int, packed binary, hot boolean"
+PACKED = "lead binary, anchor long, did long, tk long, loc long, off int, packed binary, hot boolean"
 
 
 def _pack(window: int, gram: int):
@@ -103,7 +103,7 @@ def _pack(window: int, gram: int):
 
     def run(batches):
         for b in batches:
-            out: list = [[] for _ in range(7)]
+            out: list = [[] for _ in range(8)]
             for did, tk, n, z, asked in zip(*(c.to_pylist() for c in b.columns)):
                 text = unpack(z, n)
                 data = np.frombuffer(text, np.uint8)
@@ -112,20 +112,18 @@ def _pack(window: int, gram: int):
                     place.update(zip(first.tolist(), at.tolist()))
                 twin = [rolling(data, window, base) for base in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)] if any(x["hot"] for x in asked) else []
                 for x in asked:
-                    _, at, count = (int(v[0]) for v in R.unpacked_loc(np.array([x["loc"]])))
+                    at, count = (int(v[0]) for v in R.unpacked_loc(np.array([x["loc"]])))
                     if x["hot"]:
                         s = np.arange(at, at + count)
-                        loc = R.packed_loc(tk, s, np.ones_like(s)).tolist()
-                        rows = zip([v.tobytes() for v in twin[0][s]], twin[1][s].view(np.int64).tolist(), [did] * count, loc, [0] * count, [b""] * count, [True] * count)
-                    elif at not in place:  # another text with the same id and the same 16 bits
-                        continue
+                        loc = R.packed_loc(s, np.ones_like(s)).tolist()
+                        rows = zip([v.tobytes() for v in twin[0][s]], twin[1][s].view(np.int64).tolist(), [did] * count, [tk] * count, loc, [0] * count, [b""] * count, [True] * count)
                     else:
                         p = place[at]
-                        rows = [(text[p : p + min(LEAD, gram)], x["anchor"], did, x["loc"], p - at, text[at : at + count + window - 1], False)]
+                        rows = [(text[p : p + min(LEAD, gram)], x["anchor"], did, tk, x["loc"], p - at, text[at : at + count + window - 1], False)]
                     for row in rows:
                         for o, v in zip(out, row):
                             o.append(v)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=[c.split()[0] for c in PACKED.split(", ")])
 
     return run
@@ -186,9 +184,9 @@ def _sort(window: int):
 
     def run(batches):
         for t in R.whole_groups(batches, 0, TOGETHER):
-            did, loc, off = (t.column(i).to_numpy() for i in (2, 3, 4))
-            tk, at, count = R.unpacked_loc(loc)
-            hit = equal_windows(t.column(5).to_pylist(), off.astype(np.int64), count, window)
+            did, tk, loc, off = (t.column(i).to_numpy() for i in (2, 3, 4, 5))
+            at, count = R.unpacked_loc(loc)
+            hit = equal_windows(t.column(6).to_pylist(), off.astype(np.int64), count, window)
             out: list = [[], [], [], []]
             for i in np.flatnonzero(hit.any(1)):
                 mask = hit[i, off[i] - count[i] + 1 : off[i] + 1][::-1]  # by rising start
@@ -204,10 +202,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """did, tk, at, n: runs of windows whose bytes also start elsewhere."""
     shared = R.shared_blocks(keyed(docs).mapInArrow(_describe(window, gram), R.META))
     kinds = R.classes(shared)
-    copies = R.with_class(shared, kinds.where("n > 1")).select("did", F.expr(R.TK), F.expr(R.AT), F.expr(R.COUNT))
+    copies = R.with_class(shared, kinds.where("n > 1")).select("did", "tk", F.expr(R.AT), F.expr(R.COUNT))
     packed = table(packed_texts(docs).join(R.rivals(kinds), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window, gram), PACKED), "packed")
     cold = packed.where("NOT hot").repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_sort(window), R.HITS)
-    hot = packed.where("hot").select("lead", "anchor", "did", F.expr(R.TK), F.expr(R.AT))
+    hot = packed.where("hot").select("lead", "anchor", "did", "tk", F.expr(R.AT))
     twice = table(hot.groupBy("lead", "anchor").agg(F.count("*").alias("k")).where("k > 1").select("lead", "anchor"), "windows")
     dealt = hot.join(sent_if_small(twice), ["lead", "anchor"]).select("did", "tk", "at", F.lit(1).alias("n"))
     return copies.unionByName(cold).unionByName(dealt)

@@ -44,7 +44,7 @@ def word_ends(words: list[bytes]) -> np.ndarray:
 def _describe(window: int, gram: int):
     def run(batches):
         for b in batches:
-            out: list = [[], [], [], []]
+            out: list = [[], [], [], [], []]
             for did, tk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 words = text.split()
                 if len(words) < window:
@@ -54,14 +54,14 @@ def _describe(window: int, gram: int):
                 lo = np.append(0, ends + 1)[first].tolist()
                 hi = ends[first + count + window - 2].tolist()
                 same = np.fromiter([xxhash.xxh3_64_intdigest(joined[a:z]) for a, z in zip(lo, hi)], np.uint64, len(first))
-                for x, y in zip(out, (anchor, same, np.full(len(first), did, np.int64), R.packed_loc(tk, first, count))):
+                for x, y in zip(out, (anchor, same, np.full(len(first), did, np.int64), np.full(len(first), tk, np.int64), R.packed_loc(first, count))):
                     x.append(y)
             yield R.meta_batch(*out)
 
     return run
 
 
-PACKED = "anchor long, did long, loc long, packed binary, hot boolean"
+PACKED = "anchor long, did long, tk long, loc long, packed binary, hot boolean"
 
 
 def _pack(window: int):
@@ -69,17 +69,17 @@ def _pack(window: int):
 
     def run(batches):
         for b in batches:
-            out: list = [[], [], [], [], []]
+            out: list = [[] for _ in range(6)]
             for did, tk, n, z, asked in zip(*(c.to_pylist() for c in b.columns)):
                 words = unpack(z, n).split()
                 for x in asked:
-                    _, at, count = (int(v[0]) for v in R.unpacked_loc(np.array([x["loc"]])))
+                    at, count = (int(v[0]) for v in R.unpacked_loc(np.array([x["loc"]])))
                     step = 1 if x["hot"] else count
                     for s in range(at, at + count, step):
-                        row = (x["anchor"], did, int(R.packed_loc(tk, np.array([s]), np.array([step]))[0]), b" ".join(words[s : s + step + window - 1]), x["hot"])
+                        row = (x["anchor"], did, tk, int(R.packed_loc(np.array([s]), np.array([step]))[0]), b" ".join(words[s : s + step + window - 1]), x["hot"])
                         for o, v in zip(out, row):
                             o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=["anchor", "did", "loc", "packed", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=["anchor", "did", "tk", "loc", "packed", "hot"])
 
     return run
 
@@ -89,9 +89,9 @@ def _count(window: int):
 
     def run(batches):
         for t in R.whole_groups(batches, 0, 2048):
-            anchor, did, loc = (t.column(i).to_numpy() for i in range(3))
-            packed = t.column(3).to_pylist()
-            tk, at, count = R.unpacked_loc(loc)
+            anchor, did, tk, loc = (t.column(i).to_numpy() for i in range(4))
+            packed = t.column(4).to_pylist()
+            at, count = R.unpacked_loc(loc)
             edge = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
             out: list = [[], [], [], []]
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -123,10 +123,10 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     shared = R.shared_blocks(keyed(docs).mapInArrow(_describe(window, gram), R.META))
     kinds = R.classes(shared)
     copied = kinds.where("n > 1").select("anchor", "same", "n", F.col("did").alias("did0"), F.col("at").alias("at0"))
-    copies = R.with_class(shared, copied, "did0", "at0").select("did", F.expr(R.TK), F.expr(R.AT), F.expr(R.COUNT), "did0", "at0").where("did > did0 OR (did = did0 AND at > at0)").select("did", "tk", "at", "n")
+    copies = R.with_class(shared, copied, "did0", "at0").select("did", "tk", F.expr(R.AT), F.expr(R.COUNT), "did0", "at0").where("did > did0 OR (did = did0 AND at > at0)").select("did", "tk", "at", "n")
     packed = table(packed_texts(docs).join(R.rivals(kinds), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window), PACKED), "packed")
     cold = packed.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_count(window), R.HITS)
-    hot = packed.where("hot").select("packed", "did", "loc", F.expr(R.TK), F.expr(R.AT))
+    hot = packed.where("hot").select("packed", "did", "tk", F.expr(R.AT))
     first = table(hot.groupBy("packed").agg(F.min(F.struct("did", "at")).alias("x"), F.count("*").alias("k")).where("k > 1").select("packed", F.col("x.did").alias("did0"), F.col("x.at").alias("at0")), "windows")
     late = hot.join(sent_if_small(first), "packed").where("did > did0 OR (did = did0 AND at > at0)").select("did", "tk", "at", F.lit(1).alias("n"))
     return copies.unionByName(cold).unionByName(late)

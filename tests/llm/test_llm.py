@@ -150,6 +150,17 @@ def test_repeats_of_nothing(spark):
     assert superkmer.deduplicate(corpus.empty(spark)).count() == 0 and suffixes.deduplicate(corpus.empty(spark)).count() == 0
 
 
+def test_repeats_among_texts_that_share_an_id(spark):
+    rnd = np.random.default_rng(21)
+    prose = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 10**6, n))
+    rows = [(None, prose(110) if k % 2 else " ".join([prose(60)] * 2)) for k in range(2000)]
+    rows += [(k, rows[k][1]) for k in range(0, 400, 2)]
+    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.removed_bytes([t for _, t in rows], 400))), key=str)
+    assert rows_of(suffixes.deduplicate(corpus.frame(spark, rows), 400)) == want
+    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.removed_words(rows, 20))), key=str)
+    assert rows_of(superkmer.deduplicate(corpus.frame(spark, rows), 20)) == want
+
+
 def test_common_passage_in_many_contexts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", 8)
     passage = " ".join(f"w{i}" for i in range(120))
