@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, doc_id, doc_key, table
+from .common import connected_components, doc_id, doc_key, sent_if_small, table
 
 #: Vectors on a side of the square of pairs that a task compares.
 BLOCK = 2048
@@ -124,16 +124,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     plain = F.transform(v, lambda x: x + F.lit(0.0))
     rows = table(vectors.select(doc_key("vec_id").alias("vid"), F.when(fine, F.col("label")).alias("label"), F.when(fine, plain).alias("v")), "vectors")
     good = rows.where("label IS NOT NULL")
-    heads = table(good.groupBy("label", "v").agg(F.min("vid").alias("head"), F.count("*").alias("n")), "heads")
+    # a different vector of a label is a node with a number of its own, whatever its ids
+    heads = table(good.groupBy("label", "v").agg(F.min("vid").alias("least"), F.count("*").alias("n")).withColumn("head", F.monotonically_increasing_id()), "heads")
     blocks = heads.groupBy("label", F.size("v").alias("d")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    dealt = heads.withColumn("d", F.size("v")).join(table(blocks, "blocks"), ["label", "d"]).withColumn("i", F.pmod(F.xxhash64("head", "v"), F.col("blocks")).cast("int"))
+    dealt = heads.withColumn("d", F.size("v")).join(table(blocks, "blocks"), ["label", "d"]).withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     # block i meets blocks j >= i; side 0 is the lower one
     pairs = dealt.select("label", "d", "head", "n", "v", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     pairs = pairs.select("label", "d", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") > F.col("j")).cast("int").alias("side"), "head", "n", "v")
     found = table(pairs.groupBy("label", "d", "low", "high").applyInArrow(_compare(threshold), LINKS), "links")
     counts = found.where("kind = 0").groupBy("head").agg(F.sum("n").alias("links"))
-    roots = connected_components(found.where("kind = 1"), "head", "other").select(F.col("node").alias("head"), "root")
-    named = table(heads.join(counts, "head", "left").join(roots, "head", "left").select("label", "v", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "head").alias("root")), "classes")
+    ends = table(connected_components(found.where("kind = 1"), "head", "other").select(F.col("node").alias("head"), "root"), "ends")
+    least = table(ends.join(heads.select("head", "least"), "head").groupBy("root").agg(F.min("least").alias("first")), "firsts")
+    roots = ends.join(sent_if_small(least), "root").select("head", "first")
+    named = table(heads.join(counts, "head", "left").join(roots, "head", "left").select("label", "v", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", "least").alias("root")), "classes")
     out = rows.join(named, ["label", "v"], "left")
     links = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.col("links") + F.col("n") - 1).cast("long")
     root = F.coalesce("root", "vid")

@@ -151,17 +151,26 @@ def verified(members: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """did, tk, root of every row of docs: root is the smallest id of the row's near-duplicate group."""
+    """did, tk, t1, t2, first of every row of docs: first is true for the text that stands for its near-duplicate group.
+
+    Each different text is a node with a number of its own, whatever its ids;
+    the group's first is its smallest id's, or of several such texts the one
+    with the smallest hash.
+    """
     texts = table(keyed(docs).mapInArrow(_describe(words, bands(least)), TEXTS), "texts")
-    nodes = table(texts.groupBy("t1", "t2", "tk", "fp").agg(F.min("did").alias("head"), F.first("keys").alias("keys")), "nodes")
-    met = links(nodes.select("fp", "head"), radius).unionByName(band_links(nodes))
+    nodes = texts.groupBy("t1", "t2", "tk", "fp").agg(F.min("did").alias("head"), F.first("keys").alias("keys"))
+    nodes = table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    met = links(nodes.select("fp", F.col("node").alias("head")), radius).unionByName(band_links(nodes.select(F.col("node").alias("head"), "keys")))
     near = table(connected_components(met, "head", "other").select("node", "root"), "candidates")
     sizes = table(near.groupBy("root").agg(F.count("*").alias("m")), "sizes")
-    wanted = near.join(sizes, "root").join(nodes.select(F.col("head").alias("node"), "tk"), "node").select("root", "node", "m", "tk")
-    members = packed_texts(docs).join(wanted.withColumnRenamed("node", "did"), ["did", "tk"]).select("root", F.col("did").alias("node"), "m", "n_bytes", "z")
-    ends = connected_components(verified(members, words, least), "head", "other").select(F.col("node").alias("head"), "root")
-    named = nodes.join(ends, "head", "left").select("t1", "t2", F.coalesce("root", "head").alias("root"))
-    return texts.join(named, ["t1", "t2"]).select("did", "tk", "t1", "t2", "root")
+    wanted = near.join(sizes, "root").join(nodes.select("node", F.col("head").alias("did"), "tk"), "node")
+    members = packed_texts(docs).join(wanted, ["did", "tk"]).select("root", "node", "m", "n_bytes", "z").dropDuplicates(["node"])
+    ends = table(connected_components(verified(members, words, least), "head", "other").select("node", "root"), "ends")
+    firsts = ends.join(nodes, "node").groupBy("root").agg(F.min(F.struct("head", "t1", "t2")).alias("x"))
+    firsts = ends.join(sent_if_small(table(firsts, "firsts")), "root").select("node", "x")
+    same = (F.col("x.head") == F.col("head")) & (F.col("x.t1") == F.col("t1")) & (F.col("x.t2") == F.col("t2"))
+    named = nodes.join(firsts, "node", "left").select("t1", "t2", "head", F.coalesce(same, F.lit(True)).alias("stands"))
+    return texts.join(named, ["t1", "t2"]).select("did", "tk", "t1", "t2", (F.col("stands") & (F.col("did") == F.col("head"))).alias("first"))
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -169,12 +178,13 @@ def deduplicate(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
 
     Texts are alike whose sets of `words`-word shingles have a Jaccard
     similarity of at least `least`, or that are linked through others; equal
-    texts, empty and null ones too, are alike. Of rows that agree in id and text
-    one stays. A null id counts as smaller than any other; no rows give no rows.
+    texts, empty and null ones too, are alike. Of alike rows that share the
+    smallest id, null or not, one stays: the one whose text has the smallest
+    hash. A null id counts as smaller than any other; no rows give no rows.
     """
     found = table(groups(docs, words, least, radius), "groups")
-    gone = found.where("did <> root").select(F.col("did").alias("__lk_did"), F.col("tk").alias("__lk_tk")).distinct()
+    gone = found.where("NOT first").select(F.col("did").alias("__lk_did"), F.col("tk").alias("__lk_tk")).distinct()
     kept = docs.join(gone, (doc_key() == F.col("__lk_did")) & (text_key() == F.col("__lk_tk")), "left_anti")
-    if not found.where("did = root").groupBy("did", "t1", "t2").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
+    if not found.where("first").groupBy("did", "t1", "t2").count().where("count > 1").isEmpty():
+        kept = kept.withColumn("__lk_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "__lk_text"]).drop("__lk_text")
     return kept

@@ -238,6 +238,18 @@ def test_added_and_cut_text_is_found(spark):
     assert got == {i for i, _ in rows} - {100 + k for k in near}
 
 
+def test_near_copies_without_ids(spark):
+    rnd = np.random.default_rng(31)
+    rows = []
+    for k in range(8):
+        w = [f"w{x}" for x in rnd.integers(0, 10**6, 150)]
+        rows += [(None, " ".join(w)), (None, " ".join([*w[:75], "edited", *w[76:]])), (5, " ".join([*w, "more"]))]
+    rows += [(None, None), (None, "")]
+    kept = neardup.deduplicate(corpus.frame(spark, rows)).collect()
+    assert len(kept) == 9 and {r.doc_id for r in kept} == {None}
+    assert {r.text.split()[0] for r in kept if r.text} == {t.split()[0] for _, t in rows if t}
+
+
 # Decontamination
 
 
@@ -400,6 +412,12 @@ def test_links_of_vectors(spark, monkeypatch, block):
     assert embeddings.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_links_of_vectors_without_ids(spark):
+    rows = [(None, [1.0, 0.0, 0.0], 0), (None, [1.0, 0.01, 0.0], 0), (None, [0.0, 1.0, 0.0], 0), (4, [0.0, 1.0, 0.01], 0), (5, [0.0, 0.0, 1.0], 0), (6, [0.01, 0.0, 1.0], 0), (6, [-1.0, 0.0, 0.0], 0)]
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert rows_of(out, "vec_id", "n_links", "component_id") == sorted([(None, 1, None)] * 3 + [(4, 1, None), (5, 1, 5), (6, 1, 5), (6, 0, 6)], key=str)
+
+
 def test_estimates_are_unbiased_and_recall_is_whole():
     rnd = np.random.default_rng(8)
     a = rnd.standard_normal((300, 64))
