@@ -15,6 +15,7 @@ import array
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,18 +221,22 @@ def _match_sent(sent: tuple[dict, list]):
     return run
 
 
-WINDOWS = "id long, tk long, words long, h long, n int, at long, slots array<int>, found array<binary>"
+WINDOWS = "row long, id long, tk long, words long, h long, n int, at long, slots array<int>, found array<binary>"
 
 
 def _spread(lengths: list[int] | None, n: int):
-    """Rows of all windows: a document's of the given lengths, or a benchmark item's own ones."""
+    """Rows of all windows: a document's of the given lengths, or a benchmark item's own ones.
+
+    row numbers the texts, with the partition in its high bits, so repeated rows stay apart.
+    """
 
     def run(batches):
-        known = Lexicon()
+        known, row = Lexicon(), TaskContext.get().partitionId() << 40
         for b in batches:
-            out: list = [[] for _ in range(8)]
+            out: list = [[] for _ in range(9)]
             for i, tk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 words = (text or b"").split()
+                row += 1
                 if not words:
                     continue
                 if lengths is None:
@@ -242,9 +247,9 @@ def _spread(lengths: list[int] | None, n: int):
                 for length, at, hashes, kind in parts:
                     for p, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
                         slots = np.flatnonzero(kind[p : p + length] != WORD).tolist() if length > 0 else []
-                        for o, v in zip(out, (i, tk, len(words), h, length, p, slots, [slot(words[p + s]) for s in slots])):
+                        for o, v in zip(out, (row, i, tk, len(words), h, length, p, slots, [slot(words[p + s]) for s in slots])):
                             o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=[c.split()[0] for c in WINDOWS.split(", ")])
 
     return run
@@ -280,9 +285,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes:
     theirs = table(items.select("item_id", F.lit(0).cast("long").alias("tk"), "text").mapInArrow(_spread(None, n), WINDOWS), "benchmark")
     lengths = [r["n"] for r in theirs.select("n").distinct().collect()]  # at most 2 x WINDOW values
     mine = texts.mapInArrow(_spread(lengths, n), WINDOWS)
-    right = theirs.select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), "h", "n", F.col("at").alias("place"), F.col("found").alias("theirs"))
+    right = theirs.select(F.col("row").alias("item_row"), F.col("id").alias("item_id"), F.col("words").alias("item_words"), "h", "n", F.col("at").alias("place"), F.col("found").alias("theirs"))
     both = mine.join(right, ["h", "n"])
-    pairs = both.groupBy("id", "tk", "item_id", "item_words").agg(F.collect_list(F.struct("at", "place", "n", "slots", F.col("found").alias("mine"), "theirs")).alias("found"))
+    pairs = both.groupBy("row", "item_row", "id", "tk", "item_id", "item_words").agg(F.collect_list(F.struct("at", "place", "n", "slots", F.col("found").alias("mine"), "theirs")).alias("found"))
     return pairs.select("id", "tk", "item_id", "item_words", "found").mapInArrow(_align, MATCH)
 
 

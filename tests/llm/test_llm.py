@@ -292,6 +292,16 @@ def test_clean_removes_rows_not_ids(spark):
         assert kept == sorted((r for r in rows if item not in (r[1] or "")), key=str)
 
 
+def test_both_forms_keep_rows_apart(spark):
+    item = "John has 5 apples and gives 3 apples to Mary before John eats the 5 remaining ones"
+    names = [("Peter", "Anna", 9, 4), ("Paul", "Jane", 8, 2), ("Mark", "Lucy", 7, 6)]
+    rows = [(i, f"so we ask {a} has {m} apples and gives {n} apples to {b} before {a} eats the {m} remaining ones ok") for a, b, m, n in names for i in (None, None, 3)]
+    rows += [(None, "intro " + item + " end")] * 2 + [(None, "nothing of it")]
+    bench = spark.createDataFrame([(70, item), (70, item), (None, item), (71, "some other item with 5 apples that nobody ever asks")], "item_id long, text string")
+    sent, dealt = (rows_of(templates.contaminated(corpus.frame(spark, rows), bench, sent_bytes=k)) for k in (1 << 20, 0))
+    assert sent == dealt and len(sent) == 33
+
+
 def test_planted_passages_are_found_in_both_ways(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     a = rows_of(templates.contaminated(docs, bench))
