@@ -76,7 +76,11 @@ def _describe(words: int, n: int):
 
 
 def band_links(nodes: DataFrame) -> DataFrame:
-    """head, other: the nodes of each key, linked to its smallest. nodes: head, keys.
+    """head, other: links that connect the nodes of each key. nodes: head, keys.
+
+    The smallest node of a key is its hub. A node is linked to the smallest of
+    its hubs only, and that to the others, so a large group has about one link
+    a node and not one a key.
 
     Keys of over HOT nodes are sent to every task where they are few, so that
     thousands of near copies need not meet in one; the others are joined by shuffle.
@@ -87,7 +91,9 @@ def band_links(nodes: DataFrame) -> DataFrame:
     tagged = rows.join(hot, "key", "left")
     rest = tagged.where("hot IS NULL").select("head", "key").join(first.where(F.col("n") <= HOT).select("key", "low"), "key")
     found = tagged.where("hot").select("low", "head").unionByName(rest.select("low", "head"))
-    return table(found.where("low <> head").select(F.col("low").alias("head"), F.col("head").alias("other")).distinct(), "links")
+    hubs = table(found.groupBy("head").agg(F.min("low").alias("hub"), F.collect_set("low").alias("lows")), "hubs")
+    ends = hubs.select("hub", F.col("head").alias("other")).unionByName(hubs.select("hub", F.explode("lows").alias("other")))
+    return table(ends.where("hub <> other").select(F.col("hub").alias("head"), "other").distinct(), "links")
 
 
 def similar(texts: list[bytes], words: int, least: float) -> tuple[np.ndarray, np.ndarray]:
