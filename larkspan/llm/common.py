@@ -19,9 +19,11 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="larkspan-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -37,16 +39,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Has Spark drop a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the lineage ends there and survives lost executors.
 
-    The collection lets Spark's cleaner drop shuffle files that only the finished write needed.
+    The shuffle files of the write go when it ends.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._larkspan_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what table() wrote; nothing may read it any more. Other DataFrames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_larkspan_path", None):
+            p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent(), True)
 
 
 #: Rows of a written table up to which it is sent to every task of a join; they are of a few hundred bytes at most.
@@ -132,7 +151,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = table(small.where("u <> v").distinct(), "edges")
+        last, e = e, table(small.where("u <> v").distinct(), "edges")
+        drop(last)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == seen:
             break

@@ -15,10 +15,12 @@ Blocks are rows of Parquet files whose order is that of the documents.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import struct
 import sys
 import types
+import unicodedata
 import zlib
 from itertools import islice
 
@@ -43,24 +45,53 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 KEPT, KEPT_PARTS = 400_000, 800_000
 
 
+# The rules of a tokenizer file under which the ids of a text are those of its words in turn.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(rules: dict) -> bool:
+    """Whether a tokenizer file has the rules that word-wise encoding relies on; added tokens hold no white space and start with <|."""
+    added = all(t["content"].startswith("<|") and not t["content"].encode().split()[1:] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in rules["added_tokens"])
+    model = rules["model"]
+    return added and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and rules["truncation"] is None and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
+
+
 def coder(path: str):
-    """The tokenizer, which of its ids end a word, and the ids of words and of their parts met so far; kept by each worker."""
+    """The tokenizer, which of its ids end a word (None if texts must be encoded whole), and the ids of words and of their parts met so far; kept by each worker."""
     kept = sys.modules.setdefault("_larkspan_tokens", types.ModuleType("_larkspan_tokens")).__dict__
     if path not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            words = by_words(json.load(f))
         tokenizer = Tokenizer.from_file(path)
-        ends = np.zeros(tokenizer.get_vocab_size(), bool)
-        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        ends = None
+        if words:
+            ends = np.zeros(tokenizer.get_vocab_size(), bool)
+            ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         kept[path] = tokenizer, ends, {}, {}
     return kept[path]
 
 
 def parted(word: bytes) -> tuple[bytes, bytes]:
-    """A word and the ASCII punctuation at its end, where the tokenizer parts them too: after a letter or digit."""
+    """A word and the ASCII punctuation at its end, where the tokenizer parts them too: after a letter or digit.
+
+    Beyond ASCII, after a letter that is still one letter in lower case (of U+0130 a mark remains, which joins the punctuation) and in its composed form.
+    """
     core = word.rstrip(PUNCTUATION)
-    if not core or len(core) == len(word) or not (core[-1:].isalnum() if core[-1] < 128 else core.decode()[-1].isalpha()) or b"<|" in word:
+    if not core or len(core) == len(word) or b"<|" in word:
+        return word, b""
+    if not (core[-1:].isalnum() if core[-1] < 128 else unicodedata.normalize("NFC", core.decode()[-1]).lower().isalpha()):
         return word, b""
     return core, word[len(core) :]
 
@@ -89,12 +120,15 @@ def _encode_parts(parts: list[bytes], tokenizer, ends: np.ndarray) -> dict[bytes
 def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """Ids of each whole text and the end id, as unsigned 32-bit integers.
 
-    The tokenizer lowers case, drops white space and never joins what it parts,
-    so the ids of a text are those of its words in turn, and each word or part
-    is encoded once while kept. A text with the start of a special token's name
-    is left in its case.
+    A tokenizer that lowers case, drops white space and never joins what it
+    parts gives a text the ids of its words in turn; each word or part is then
+    encoded once while kept. A text with the start of a special token's name is
+    left in its case. Whether the file has these rules is checked when it is
+    read; with others, texts are encoded whole.
     """
     tokenizer, ends, known, cores = coder(path)
+    if ends is None:
+        return [np.array([*e.ids, end_id], "<u4").tobytes() for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
     words = [(t if b"<|" in t else t.lower()).split() for t in texts]
     found = [list(map(known.get, ws)) for ws in words]
     holes = [[k for k, x in enumerate(f) if x is None] for f in found]
