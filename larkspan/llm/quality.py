@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from .common import as_bytes, doc_id, doc_key
+from .common import as_bytes, doc_id, doc_key, text_key
 
 #: Hashed features: words (present or not) in the first half, shapes of words (share of the text's words) in the second.
 FEATURES = 1 << 18
@@ -45,7 +45,7 @@ def word_features(word: bytes) -> tuple[int, int]:
         shape = pattern.sub(to, shape)
     core = word.lower().strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
     half = FEATURES // 2
-    return xxhash.xxh64_intdigest(core) % half, half + xxhash.xxh64_intdigest(shape[:32]) % (half - 1)
+    return xxhash.xxh64_intdigest(core) % half, half + xxhash.xxh64_intdigest(shape) % (half - 1)
 
 
 def features(text: bytes, known: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +74,7 @@ def _gather(batches):
     for b in batches:
         rows = [features(t or b"", known) for t in as_bytes(b.column(0))]
         packed = [(at.astype("<i4").tobytes(), value.astype("<f4").tobytes()) for at, value in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()), b.column(1)], names=["at", "value", "grade"])
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()), *(b.column(k) for k in (1, 2, 3))], names=["at", "value", "grade", "did", "tk"])
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -84,11 +84,16 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple]:
-    """(indices, values, grade) of at most `most` labelled documents, on the driver."""
+    """(indices, values, grade) of at most `most` labelled documents, on the driver: those with the smallest hash of their id, then of their text.
+
+    Texts become features where they are read, so what is ordered and sent is
+    a few packed features a document, however long it is.
+    """
     chosen = grades(labels).orderBy(F.xxhash64("did"), "did").limit(most)
     joined = docs.select(doc_key().alias("did"), "text").join(F.broadcast(chosen), "did")
-    rows = joined.select(F.coalesce("text", F.lit("")).alias("text"), "grade", "did").orderBy("did", F.xxhash64("text")).limit(2 * most).select("text", "grade")
-    packed = rows.mapInArrow(_gather, "at binary, value binary, grade int").toLocalIterator()
+    rows = joined.select(F.coalesce("text", F.lit("")).alias("text"), "grade", "did", text_key().alias("tk"))
+    packed = rows.mapInArrow(_gather, "at binary, value binary, grade int, did long, tk long")
+    packed = packed.orderBy(F.xxhash64("did"), "did", "tk").limit(most).select("at", "value", "grade").toLocalIterator()
     return [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4"), r["grade"]) for r in packed]
 
 
@@ -232,7 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, wanted: int = 2, least: float =
 
 
 def select(docs: DataFrame, labels: DataFrame, wanted: int = 2, least: float = 0.5, most: int = SAMPLE) -> DataFrame:
-    """The rows of docs, all columns, that classify() keeps."""
+    """The rows of docs, all columns, that classify() keeps; null, empty and repeated rows are graded as there, no rows give no rows."""
     start, at = _grader(fit(sample(docs, labels, most))), docs.columns.index("text")
 
     def run(batches):

@@ -314,24 +314,26 @@ def test_planted_passages_are_found_in_both_ways(spark):
 # Mixing
 
 
-def test_targets():
-    sizes = [("b", 10), ("a", 1000), (None, 500), ("c", 5)]
-    t = mixing.targets(sizes)
-    total = sum(s for _, s in sizes)
-    weight = {"a": 5, "b": 2, "c": 1, None: 5}
-    want, left, open_ = {}, float(total), dict(weight)
+@pytest.mark.parametrize("sizes", [[("b", 10), ("a", 1000), (None, 500), ("c", 5)], [("x", 0)], [(f"s{k}", k % 7 * 10 ** (k % 4)) for k in range(200)] + [(None, 3)], [("\U0001f600", 5), ("\uffee", 900), ("z", 1)]])
+def test_targets(spark, sizes):
+    ranked = sorted((k for k, _ in sizes), key=lambda k: (k is None, k or ""))
+    size, total = dict(sizes), float(sum(s for _, s in sizes))
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(ranked)}
+    want, left, open_ = {}, total, dict(weight)
     while open_:
         level = left / sum(open_.values())
-        over = [k for k in open_ if weight[k] * level > 3 * dict(sizes)[k] + 1e-9]
+        over = [k for k in open_ if weight[k] * level > 3 * size[k] + 1e-9]
         if not over:
             want |= {k: weight[k] * level for k in open_}
             break
         for k in over:
-            want[k] = 3.0 * dict(sizes)[k]
+            want[k] = 3.0 * size[k]
             left -= want[k]
             del open_[k]
-    assert {k: pytest.approx(v) for k, v in want.items()} == t and sum(t.values()) == pytest.approx(total)
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0.0}
+    df = spark.createDataFrame(sizes, "source string, s long").repartition(5)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert {k: pytest.approx(v) for k, v in want.items()} == got and sum(got.values()) == pytest.approx(total)
+    assert mixing.targets(df.where("s < 0")).count() == 0
 
 
 def test_mix(spark):
@@ -499,7 +501,6 @@ def test_blocks_decode_alone_and_notice_damage():
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = labels.where("doc_id % 3 = 0")
-    out = quality.classify(docs.join(held, "doc_id", "left_semi"), labels.where("doc_id % 3 <> 0")) if False else None
     model = quality.fit(quality.sample(docs, labels.where("doc_id % 3 <> 0")))
     start = quality._grader(model)
     import pyarrow as pa
@@ -509,7 +510,7 @@ def test_quality_on_held_out_labels(spark):
     keep = tails[:, 1] >= 0.5
     clean = np.array([r.quality == 1 and r.toxic == 0 for r in rows])
     toxic = np.array([r.toxic == 1 for r in rows])
-    assert out is None and keep[clean].mean() > 0.96 and keep[toxic].mean() < 0.12 and keep[~clean & ~toxic].mean() < 0.25
+    assert keep[clean].mean() > 0.96 and keep[toxic].mean() < 0.12 and keep[~clean & ~toxic].mean() < 0.25
     assert (tails[:, 0] >= tails[:, 1] - 1e-12).all() and model.t[0] < model.t[1]
 
 
