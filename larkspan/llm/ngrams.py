@@ -1,8 +1,8 @@
-"""Stupid-backoff scores of documents under the bigrams of the whole corpus, computed relationally.
+"""Stupid-backoff scores of documents under the n-grams of the whole corpus, computed relationally.
 
-Documents are read in batches. A batch explodes into its different words and
-bigrams, packed as sorted 64-bit hashes by the bucket of their leading bits; a
-bucket gathers one row per batch, adds up the count table of its n-grams, and
+Documents are read in batches. A batch explodes into its different n-grams of
+each order, packed as sorted 64-bit hashes by the bucket of their leading bits;
+a bucket gathers one row per batch, adds up the count table of its n-grams, and
 answers each batch with the counts of what it asked. So a word pair in every
 document costs one entry per batch, and what travels grows with the input.
 """
@@ -22,12 +22,12 @@ from ..sources.tables import spread
 from .common import as_bytes, doc_id, doc_key, table
 
 ALPHA = 0.4
-#: A bigram counts in the model if it occurs so often.
-CUTOFF = 2
+#: The longest n-grams, and how often those of two words or more must occur to be in the model: once, all are.
+ORDER, CUTOFF = 3, 1
 #: Bytes of text of a batch, at least, but for the last of a partition.
 BATCH = 8 << 20
 #: N-grams of a bucket, about; buckets follow the corpus.
-BUCKET = 4_000_000
+BUCKET = 1_500_000
 BATCHES = "batch long, dids binary, bytes array<int>, n_words long, n_bytes long, z binary"
 
 
@@ -55,24 +55,24 @@ def _batch(batches):
         yield full()
 
 
-def grams(sizes: list[int], n_bytes: int, z: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: words of each document, the hash of each word, and that of each word with the word before (0 at a document's start)."""
+def grams(sizes: list[int], n_bytes: int, z: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a batch: words of each document, and for n = 1 to order the hash of the n words that end at each word (0 where the document has fewer)."""
     data = pa.Codec("zstd").decompress(z, decompressed_size=n_bytes, asbytes=True) if n_bytes else b""
-    words, n, at = [], [], 0
+    hashes, n, at = [], [], 0
     for size in sizes:
         w = data[at : at + size].split()
         at += size
-        words += w
+        hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)))
         n.append(len(w))
-    one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    two = np.zeros(len(one), np.uint64)
-    x = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(3)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    two[1:] = np.maximum(x ^ (x >> np.uint64(32)), np.uint64(1))
     count = np.array(n, np.int64)
-    starts = (np.cumsum(count) - count)[count > 0]
-    two[starts] = 0
-    return count, one, two
+    out = [np.maximum(np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.uint64(1))]
+    place = np.arange(len(out[0])) - np.repeat(np.cumsum(count) - count, count)
+    for k in range(1, order):
+        x = np.zeros(len(out[0]), np.uint64)
+        x[1:] = out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + out[0][1:] * np.uint64(3)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(np.where(place >= k, np.maximum(x ^ (x >> np.uint64(32)), np.uint64(1)), np.uint64(0)))
+    return count, out
 
 
 def pack(h: np.ndarray, times: np.ndarray) -> bytes:
@@ -91,16 +91,15 @@ def unpack(n: int, z: bytes) -> tuple[np.ndarray, np.ndarray]:
 ASKED = "kind int, bucket int, batch long, n long, z binary"
 
 
-def _ask(buckets: int):
-    """One row for each batch, order of n-gram (1, 2) and bucket that has any."""
+def _ask(buckets: int, order: int):
+    """One row for each batch, order of n-gram and bucket that has any."""
 
     def run(batches):
         edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
         for b in batches:
             for batch, sizes, n_bytes, z in zip(*(c.to_pylist() for c in b.columns)):
-                _, one, two = grams(sizes, n_bytes, z)
-                for kind, h in ((1, one), (2, two[two > 0])):
-                    h, times = np.unique(h, return_counts=True)
+                for kind, h in enumerate(grams(sizes, n_bytes, z, order)[1], 1):
+                    h, times = np.unique(h[h > 0], return_counts=True)
                     cut = np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))  # equal ranges of hashes
                     rows = [(k, cut[k], cut[k + 1]) for k in np.flatnonzero(np.diff(cut)).tolist()]
                     yield pa.RecordBatch.from_arrays(
@@ -127,49 +126,59 @@ def _answer(key, t):
     return pa.table([t["batch"], t["kind"], t["bucket"], t["n"], pa.array(out, pa.binary())], names=["batch", "kind", "bucket", "n", "z"])
 
 
-def _score(total: int):
-    def counts(h: np.ndarray, answers: list) -> np.ndarray:
-        known = np.unique(h)
-        parts = [np.ascontiguousarray(np.frombuffer(pa.Codec("zstd").decompress(a["z"], decompressed_size=8 * a["n"], asbytes=True), np.uint8).reshape(8, a["n"]).T).view("<u8").ravel() for a in sorted(answers, key=lambda a: a["bucket"])]
-        return np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.float64)[np.searchsorted(known, h)]
+def _counts(h: np.ndarray, answers: list) -> np.ndarray:
+    """The corpus's count of each n-gram of a batch; 0 where the hash is 0."""
+    parts = [np.ascontiguousarray(np.frombuffer(pa.Codec("zstd").decompress(a["z"], decompressed_size=8 * a["n"], asbytes=True), np.uint8).reshape(8, a["n"]).T).view("<u8").ravel() for a in sorted(answers, key=lambda a: a["bucket"])]
+    known = np.unique(h[h > 0])
+    out = np.zeros(len(h))
+    out[h > 0] = np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.float64)[np.searchsorted(known, h[h > 0])]
+    return out
 
+
+def _score(total: int, order: int, cutoff: int):
     def run(batches):
         for b in batches:
             for dids, sizes, n_bytes, z, answers in zip(*(c.to_pylist() for c in b.columns)):
-                n, one, two = grams(sizes, n_bytes, z)
-                answers = answers or []
-                c1 = counts(one, [a for a in answers if a["kind"] == 1])
-                c2 = np.zeros(len(two))
-                c2[two > 0] = counts(two[two > 0], [a for a in answers if a["kind"] == 2])
-                known = c2 >= CUTOFF
-                s = np.log(c1 / max(total, 1))
-                s[two > 0] = np.log(ALPHA * c1[two > 0] / max(total, 1))
-                s[known] = np.log(c2[known] / c1[np.flatnonzero(known) - 1])
+                n, hashes = grams(sizes, n_bytes, z, order)
+                c = [_counts(h, [a for a in answers or [] if a["kind"] == k]) for k, h in enumerate(hashes, 1)]
+                s = np.log(c[0] / max(total, 1))
+                longest, used = np.ones(len(s), np.int64), np.ones(len(s), np.int64)
+                once = c[0] == 1
+                for k in range(1, order):
+                    there, in_model = np.flatnonzero(hashes[k]), np.flatnonzero((hashes[k] > 0) & (c[k] >= cutoff))
+                    longest[there] = k + 1
+                    once[there] = c[k][there] == 1
+                    s[there] += math.log(ALPHA)
+                    used[in_model] = k + 1
+                    s[in_model] = np.log(c[k][in_model] / c[k - 1][in_model - 1])
                 owner = np.repeat(np.arange(len(n)), n)
                 score = pa.array(np.bincount(owner, s, len(n)), mask=n == 0)
-                back = np.bincount(owner[(two > 0) & ~known], minlength=len(n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(dids, "<i8")), pa.array(n), pa.array(back), score], names=["did", "n_words", "backed_off", "log_score"])
+                of = lambda mask: pa.array(np.bincount(owner[mask], minlength=len(n)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(dids, "<i8")), pa.array(n), of(used < longest), of(once), score], names=["did", "n_words", "backed_off", "seen_once", "log_score"])
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, backed_off, log_score of every row of docs, under a model of all of them.
+def score(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> DataFrame:
+    """doc_id, n_words, backed_off, seen_once, log_score of every row of docs, under a model of all of them.
 
-    log_score sums, over the words of the whole text, ln c(v w) / c(v) where the
-    bigram occurs at least CUTOFF times, else ln ALPHA c(w) / N; a document's
-    first word has ln c(w) / N. backed_off counts the words that took the second
-    form. A text without words, a null one too, has null. Words are unchanged
-    runs of bytes other than white space; n-grams are told apart by 64-bit
-    hashes. Repeated rows count as often as they occur; no rows give no rows.
+    A word that follows others is scored by the longest n-gram of at most
+    `order` words that ends at it and occurs at least `cutoff` times (a single
+    word always counts): ln c(n-gram) / c(all but its last word), or
+    ln c(w) / N for the word alone, and ln ALPHA more for each longer n-gram
+    that the document has there. log_score sums this over the whole text.
+    backed_off counts the words scored by less than the longest n-gram there,
+    seen_once those whose longest n-gram the corpus has nowhere else. A text
+    without words, a null one too, has null. Words are unchanged runs of bytes
+    other than white space; n-grams are told apart by 64-bit hashes. Repeated
+    rows count as often as they occur; no rows give no rows.
     """
     packed = table(spread(docs.select(doc_key().alias("did"), "text")).mapInArrow(_batch, BATCHES), "batches")
     total = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(16, math.ceil(total / BUCKET))
-    asked = packed.select("batch", "bytes", "n_bytes", "z").mapInArrow(_ask(buckets), ASKED)
-    answers = asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS)
+    asked = packed.select("batch", "bytes", "n_bytes", "z").mapInArrow(_ask(buckets, order), ASKED)
+    answers = table(asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS), "answers")
     gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "n", "z")).alias("answers"))
     joined = packed.join(gathered, "batch", "left").select("dids", "bytes", "n_bytes", "z", "answers")
-    out = joined.mapInArrow(_score(total), "did long, n_words long, backed_off long, log_score double")
-    return out.select(doc_id("did").alias("doc_id"), "n_words", "backed_off", "log_score")
-
+    out = joined.mapInArrow(_score(total, order, cutoff), "did long, n_words long, backed_off long, seen_once long, log_score double")
+    return out.select(doc_id("did").alias("doc_id"), "n_words", "backed_off", "seen_once", "log_score")

@@ -23,7 +23,7 @@ def op2_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ngrams.score(read(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", "backed_off", F.round("log_score", 6).alias("log_score"))
+    return scored.select("doc_id", "n_words", "backed_off", "seen_once", F.round("log_score", 6).alias("log_score"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,17 +82,20 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM o
 """
 
-#: Bigrams seen once in the corpus are not in the model; their second word is scored by 0.4 times its share.
+#: All n-grams up to three words are in the model, so its own corpus never backs off.
 OP3_SQL = r"""
 WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-t AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS b, unnest(list_concat([NULL], ws[:-2])) AS a FROM w WHERE len(ws) > 0),
-c1 AS (SELECT b, count(*)::DOUBLE AS c FROM t GROUP BY b),
-n AS (SELECT sum(c) AS n FROM c1),
-c2 AS (SELECT a, b, count(*)::DOUBLE AS c FROM t WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+t AS (SELECT r, unnest(ws) AS c, unnest(list_concat([NULL], ws[:-2])) AS b, unnest(list_concat([NULL, NULL], ws[:-3])[:len(ws)]) AS a FROM w WHERE len(ws) > 0),
+c1 AS (SELECT c, count(*)::DOUBLE AS n FROM t GROUP BY c),
+c2 AS (SELECT b, c, count(*)::DOUBLE AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
+c3 AS (SELECT a, b, c, count(*)::DOUBLE AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c),
+total AS (SELECT sum(n) AS n FROM c1),
 s AS (
-  SELECT r, CASE WHEN c2.c IS NOT NULL THEN ln(c2.c / h.c) WHEN t.a IS NULL THEN ln(u.c / n.n) ELSE ln(0.4::DOUBLE * u.c / n.n) END AS s, (c2.c IS NULL AND t.a IS NOT NULL)::BIGINT AS back
-  FROM t JOIN c1 u ON t.b = u.b LEFT JOIN c1 h ON t.a = h.b LEFT JOIN c2 ON t.a = c2.a AND t.b = c2.b, n)
-SELECT w.doc_id, len(any_value(w.ws))::BIGINT AS n_words, coalesce(sum(back), 0)::BIGINT AS backed_off, round(sum(s), 6) AS log_score
+  SELECT r, ln(CASE WHEN t.a IS NOT NULL THEN tri.n / ab.n WHEN t.b IS NOT NULL THEN bc.n / wb.n ELSE wc.n / total.n END) AS s,
+         (CASE WHEN t.a IS NOT NULL THEN tri.n WHEN t.b IS NOT NULL THEN bc.n ELSE wc.n END = 1)::BIGINT AS once
+  FROM t JOIN c1 wc ON t.c = wc.c LEFT JOIN c1 wb ON t.b = wb.c LEFT JOIN c2 bc ON t.b = bc.b AND t.c = bc.c
+       LEFT JOIN c2 ab ON t.a = ab.b AND t.b = ab.c LEFT JOIN c3 tri ON t.a = tri.a AND t.b = tri.b AND t.c = tri.c, total)
+SELECT w.doc_id, len(any_value(w.ws))::BIGINT AS n_words, 0::BIGINT AS backed_off, coalesce(sum(once), 0)::BIGINT AS seen_once, round(sum(s), 6) AS log_score
 FROM w LEFT JOIN s ON w.r = s.r GROUP BY w.r, w.doc_id
 """
 

@@ -357,30 +357,32 @@ def test_mix(spark):
 # Language model
 
 
-def test_scores_of_awkward_rows(spark):
+@pytest.mark.parametrize("order,cutoff", [(3, 1), (2, 2), (4, 2), (1, 1)])
+def test_scores_of_awkward_rows(spark, order, cutoff):
     import math
 
     rows = corpus.texts()
-    c1, c2 = Counter(), Counter()
+    c = Counter()
     for _, t in rows:
         w = brute.words(t)
-        c1.update(w)
-        c2.update(zip(w, w[1:]))
-    n = sum(c1.values())
+        for n in range(1, order + 1):
+            c.update(zip(*(w[k:] for k in range(n))))
+    total = sum(v for k, v in c.items() if len(k) == 1)
 
     def want(t):
-        w, s, back = brute.words(t), 0.0, 0
-        for k, x in enumerate(w):
-            if k and c2[w[k - 1], x] >= 2:
-                s += math.log(c2[w[k - 1], x] / c1[w[k - 1]])
-            else:
-                s += math.log((0.4 if k else 1.0) * c1[x] / n)
-                back += k > 0
-        return len(w), back, round(s, 6) if w else None
-
-    got = ngrams.score(corpus.frame(spark)).select("doc_id", "n_words", "backed_off", F.round("log_score", 6))
+        w, s, back, once = brute.words(t), 0.0, 0, 0
+        for k in range(len(w)):
+            longest = min(order, k + 1)
+            n = next(n for n in range(longest, 0, -1) if n == 1 or c[tuple(w[k - n + 1 : k + 1])] >= cutoff)
+            over = c[tuple(w[k - n + 1 : k])] if n > 1 else total
+            s += math.log(0.4 ** (longest - n) * c[tuple(w[k - n + 1 : k + 1])] / over)
+            back += n < longest
+            once += c[tuple(w[k - longest + 1 : k + 1])] == 1
+        return len(w), back, once, round(s, 6) if w else None
+
+    got = ngrams.score(corpus.frame(spark), order, cutoff).select("doc_id", "n_words", "backed_off", "seen_once", F.round("log_score", 6))
     assert rows_of(got) == sorted(((i, *want(t)) for i, t in rows), key=str)
-    assert ngrams.score(corpus.empty(spark)).count() == 0
+    assert ngrams.score(corpus.empty(spark), order, cutoff).count() == 0
 
 
 def test_packed_ngrams_round_trip():
