@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import as_bytes, doc_id, keyed, packed_texts, sent_if_small, table, unpack
+from .common import as_bytes, doc_id, drop, keyed, packed_texts, sent_if_small, table, unpack
 
 WINDOW, GRAM, LEAD = 400, 64, 64
+#: The shorter window whose repeats are reported beside the removals: a passage of over 50 words may have fewer than 400 bytes.
+SHORT = 256
 #: Windows of a very long text that are looked at together.
 STRETCH = 1 << 20
 #: Segments of at most so many suffixes are sorted by whole keys.
@@ -198,23 +200,53 @@ def _sort(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """did, tk, at, n: runs of windows whose bytes also start elsewhere."""
-    shared = R.shared_blocks(keyed(docs).mapInArrow(_describe(window, gram), R.META))
+def repeated_windows(texts: DataFrame, packed_text: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """did, tk, at, n: runs of windows whose bytes also start elsewhere. texts: did, tk, text; packed_text: the same as of packed_texts()."""
+    shared = R.shared_blocks(texts.mapInArrow(_describe(window, gram), R.META))
     kinds = R.classes(shared)
     copies = R.with_class(shared, kinds.where("n > 1")).select("did", "tk", F.expr(R.AT), F.expr(R.COUNT))
-    packed = table(packed_texts(docs).join(R.rivals(kinds), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window, gram), PACKED), "packed")
+    packed = table(packed_text.join(R.rivals(kinds), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window, gram), PACKED), "packed")
     cold = packed.where("NOT hot").repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_sort(window), R.HITS)
     hot = packed.where("hot").select("lead", "anchor", "did", "tk", F.expr(R.AT))
     twice = table(hot.groupBy("lead", "anchor").agg(F.count("*").alias("k")).where("k > 1").select("lead", "anchor"), "windows")
     dealt = hot.join(sent_if_small(twice), ["lead", "anchor"]).select("did", "tk", "at", F.lit(1).alias("n"))
-    return copies.unionByName(cold).unionByName(dealt)
+    hits = table(copies.unionByName(cold).unionByName(dealt), "hits")
+    drop(shared, kinds, packed, twice)
+    return hits
+
+
+MARKED = "did long, tk long, n_bytes long, z binary, n_repeated long, longest long"
+
+
+def _mark(window: int):
+    """Bytes covered by the hits of each text, and the longest run of them."""
+
+    def run(batches):
+        for b in batches:
+            n_bytes, starts, counts = (b.column(k).to_pylist() for k in (2, 4, 5))
+            gone, longest = [], []
+            for n, s, c in zip(n_bytes, starts, counts):
+                out = R.covered(np.array(s, np.int64), np.array(c, np.int64), window, n) if s else np.zeros(0, bool)
+                gone.append(int(out.sum()))
+                longest.append(max((k for _, k in R.mask_runs(out)), default=0))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(gone, pa.int64()), pa.array(longest, pa.int64())], names=[c.split()[0] for c in MARKED.split(", ")])
+
+    return run
+
+
+def _unpacked(batches):
+    for b in batches:
+        texts = [unpack(z, n).decode() for n, z in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.large_string()).cast(pa.string())], names=["did", "tk", "text"])
+
+
+CUT = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
 
 
 def _cut(window: int):
     def run(batches):
         for b in batches:
-            did, n_bytes, z, starts, counts = (c.to_pylist() for c in b.columns)
+            n_bytes, z, starts, counts = (b.column(k).to_pylist() for k in (1, 2, 4, 5))
             gone, spans, digest = [], [], []
             for n, packed, s, c in zip(n_bytes, z, starts, counts):
                 text = unpack(packed, n)
@@ -227,22 +259,33 @@ def _cut(window: int):
                     gone.append(0)
                     spans.append(0)
                 digest.append(hashlib.sha256(text).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(did, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["did", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), b.column(3)], names=[c.split()[0] for c in CUT.split(", ")])
 
     return run
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
+def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, short: int = SHORT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated of every row of docs.
 
     A byte goes if a string of `window` bytes that covers it also starts
     anywhere else, in the same row or another; each row is a document of its
-    own, whatever its id, so repeated rows lose all they share. Texts that are
-    null, empty or shorter than a window lose nothing; no rows give no rows.
+    own, whatever its id, so repeated rows lose all they share. n_repeated
+    counts the bytes covered by a string of `short` bytes, at most `window`,
+    that also starts anywhere else, kept or not. Texts that are null, empty or
+    shorter than a window lose nothing; no rows give no rows.
+
+    Where `window` bytes repeat, all of their `short` bytes do, so only texts
+    with a run of `window` bytes of short repeats, mostly few, are looked at
+    for the longer ones; the matches of these are among them too.
     """
-    hits = R.gathered(repeated_windows(docs, window, gram))
-    joined = packed_texts(docs).join(hits, ["did", "tk"], "left").select("did", "n_bytes", "z", "starts", "counts")
-    out = joined.mapInArrow(_cut(window), "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(doc_id("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    gram, packed = min(gram, short), packed_texts(docs)
+    brief = repeated_windows(keyed(docs), packed, short, gram)
+    marked = table(packed.join(R.gathered(brief), ["did", "tk"], "left").select("did", "tk", "n_bytes", "z", "starts", "counts").mapInArrow(_mark(short), MARKED), "marked")
+    drop(brief)
+    some = marked.where(F.col("longest") >= window).select("did", "tk", "n_bytes", "z")
+    hits = R.gathered(repeated_windows(some.mapInArrow(_unpacked, "did long, tk long, text string"), some, window, gram))
+    long = marked.where(F.col("longest") >= window).join(hits, ["did", "tk"], "left")
+    rest = marked.where(F.col("longest") < window).withColumns({"starts": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<int>")})
+    columns = ["did", "n_bytes", "z", "n_repeated", "starts", "counts"]
+    out = long.select(*columns).unionByName(rest.select(*columns)).mapInArrow(_cut(window), CUT)
+    return out.select(doc_id("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")

@@ -142,21 +142,26 @@ def test_words_removed(spark, monkeypatch, hot):
 def test_bytes_removed(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     rows = corpus.texts()
-    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.removed_bytes([t for _, t in rows], 400))), key=str)
-    assert rows_of(suffixes.deduplicate(corpus.frame(spark), 400)) == want
+    assert rows_of(suffixes.deduplicate(corpus.frame(spark), 400)) == removed_bytes(rows)
+
+
+def removed_bytes(rows):
+    """What the operator returns: the removals at 400 bytes, and the bytes repeated at 256."""
+    texts = [t for _, t in rows]
+    return sorted(((i, *x, y[1]) for (i, _), x, y in zip(rows, brute.removed_bytes(texts, 400), brute.removed_bytes(texts, 256))), key=str)
 
 
 def test_repeats_of_nothing(spark):
     assert superkmer.deduplicate(corpus.empty(spark)).count() == 0 and suffixes.deduplicate(corpus.empty(spark)).count() == 0
 
 
-def test_repeats_among_texts_that_share_an_id(spark):
+@pytest.mark.parametrize("shared", [None, 3])
+def test_repeats_among_texts_that_share_an_id(spark, shared):
     rnd = np.random.default_rng(21)
     prose = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 10**6, n))
-    rows = [(None, prose(110) if k % 2 else " ".join([prose(60)] * 2)) for k in range(2000)]
+    rows = [(shared, prose(110) if k % 2 else " ".join([prose(60)] * 2)) for k in range(10_000)]
     rows += [(k, rows[k][1]) for k in range(0, 400, 2)]
-    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.removed_bytes([t for _, t in rows], 400))), key=str)
-    assert rows_of(suffixes.deduplicate(corpus.frame(spark, rows), 400)) == want
+    assert rows_of(suffixes.deduplicate(corpus.frame(spark, rows), 400)) == removed_bytes(rows)
     want = sorted(((i, *x) for (i, _), x in zip(rows, brute.removed_words(rows, 20))), key=str)
     assert rows_of(superkmer.deduplicate(corpus.frame(spark, rows), 20)) == want
 
@@ -167,8 +172,7 @@ def test_common_passage_in_many_contexts(spark, monkeypatch):
     rows = [(i, f"a{i} b{i * i} " + passage + f" c{i} d{i % 3}") for i in range(40)]
     want = sorted(((i, *x) for (i, _), x in zip(rows, brute.removed_words(rows, 20))), key=str)
     assert rows_of(superkmer.deduplicate(corpus.frame(spark, rows))) == want
-    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.removed_bytes([t for _, t in rows], 400))), key=str)
-    assert rows_of(suffixes.deduplicate(corpus.frame(spark, rows))) == want
+    assert rows_of(suffixes.deduplicate(corpus.frame(spark, rows))) == removed_bytes(rows)
 
 
 def test_stretches_of_long_texts_join(monkeypatch):
