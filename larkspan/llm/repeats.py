@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sent_if_small, table
+from .common import drop, sent_if_small, table
 
 META = "anchor long, same long, did long, tk long, loc long"
 #: Different blocks with one anchor that a task compares; beyond it their windows are dealt one by one.
@@ -59,9 +59,12 @@ def meta_batch(anchor: list, same: list, did: list, tk: list, loc: list) -> pa.R
 
 
 def shared_blocks(meta: DataFrame) -> DataFrame:
-    """The blocks whose anchor occurs more than once. Counts combine before they travel; AQE splits hot anchors of the join."""
+    """The blocks whose anchor occurs more than once. Texts are read once for it; counts combine before they travel; AQE splits hot anchors of the join."""
+    meta = table(meta, "blocks")
     twice = table(meta.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    return table(meta.join(twice, "anchor"), "shared")
+    out = table(meta.join(twice, "anchor"), "shared")
+    drop(meta, twice)
+    return out
 
 
 def classes(shared: DataFrame) -> DataFrame:

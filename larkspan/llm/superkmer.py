@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import as_bytes, doc_id, keyed, packed_texts, sent_if_small, table, unpack
+from .common import as_bytes, doc_id, drop, keyed, packed_texts, sent_if_small, table, unpack
 
 WINDOW, GRAM = 20, 4
 
@@ -129,9 +129,9 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     hot = packed.where("hot").select("packed", "did", "tk", F.expr(R.AT))
     first = table(hot.groupBy("packed").agg(F.min(F.struct("did", "at")).alias("x"), F.count("*").alias("k")).where("k > 1").select("packed", F.col("x.did").alias("did0"), F.col("x.at").alias("at0")), "windows")
     late = hot.join(sent_if_small(first), "packed").where("did > did0 OR (did = did0 AND at > at0)").select("did", "tk", "at", F.lit(1).alias("n"))
-    return copies.unionByName(cold).unionByName(late)
-
-
+    hits = table(copies.unionByName(cold).unionByName(late), "hits")
+    drop(shared, kinds, packed, first)
+    return hits
 
 
 def _cut(window: int):
