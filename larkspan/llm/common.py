@@ -39,6 +39,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Row groups of written tables are small, since a task holds one in memory while it writes.
+WRITTEN = {"compression": "zstd", "parquet.block.size": 16 << 20}
 #: Has Spark drop a query's shuffle files when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -52,7 +54,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**WRITTEN).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import drop, sent_if_small, table
 
 META = "anchor long, same long, did long, tk long, loc long"
-#: Different blocks with one anchor that a task compares; beyond it their windows are dealt one by one.
+#: Equal blocks, or by default different ones with one anchor, that a task compares; beyond it the former are joined by their sent classes and windows of the latter are dealt one by one.
 HOT = 512
 
 
@@ -87,10 +87,10 @@ def with_class(shared: DataFrame, copied: DataFrame, *carried: str) -> DataFrame
     return tagged.where("_hot").drop("_hot").unionByName(rest)
 
 
-def rivals(kinds: DataFrame) -> DataFrame:
-    """did, tk and its blocks (anchor, loc, hot) whose anchor has blocks that differ: first of their class each."""
+def rivals(kinds: DataFrame, most: int) -> DataFrame:
+    """did, tk and its blocks (anchor, loc, hot) whose anchor has blocks that differ, hot if over `most` do: first of their class each."""
     many = table(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "rivals")
-    found = kinds.join(many, "anchor").select("did", "tk", F.struct("anchor", "loc", (F.col("k") > HOT).alias("hot")).alias("block"))
+    found = kinds.join(many, "anchor").select("did", "tk", F.struct("anchor", "loc", (F.col("k") > most).alias("hot")).alias("block"))
     return found.groupBy("did", "tk").agg(F.collect_list("block").alias("blocks"))
 
 

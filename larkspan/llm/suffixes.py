@@ -33,8 +33,8 @@ SHORT = 256
 STRETCH = 1 << 20
 #: Segments of at most so many suffixes are sorted by whole keys.
 SMALL = 24
-#: Suffixes that a bucket sorts together, at least.
-TOGETHER = 4096
+#: Suffixes that a bucket sorts together, at least; and different ones with one anchor, at most: beyond it their windows are dealt one by one. A suffix takes about 2 KB.
+TOGETHER, RIVALS = 4096, 8192
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def repeated_windows(texts: DataFrame, packed_text: DataFrame, window: int = WIN
     shared = R.shared_blocks(texts.mapInArrow(_describe(window, gram), R.META))
     kinds = R.classes(shared)
     copies = R.with_class(shared, kinds.where("n > 1")).select("did", "tk", F.expr(R.AT), F.expr(R.COUNT))
-    packed = table(packed_text.join(R.rivals(kinds), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window, gram), PACKED), "packed")
+    packed = table(packed_text.join(R.rivals(kinds, RIVALS), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window, gram), PACKED), "packed")
     cold = packed.where("NOT hot").repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_sort(window), R.HITS)
     hot = packed.where("hot").select("lead", "anchor", "did", "tk", F.expr(R.AT))
     twice = table(hot.groupBy("lead", "anchor").agg(F.count("*").alias("k")).where("k > 1").select("lead", "anchor"), "windows")

@@ -124,7 +124,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     kinds = R.classes(shared)
     copied = kinds.where("n > 1").select("anchor", "same", "n", F.col("did").alias("did0"), F.col("at").alias("at0"))
     copies = R.with_class(shared, copied, "did0", "at0").select("did", "tk", F.expr(R.AT), F.expr(R.COUNT), "did0", "at0").where("did > did0 OR (did = did0 AND at > at0)").select("did", "tk", "at", "n")
-    packed = table(packed_texts(docs).join(R.rivals(kinds), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window), PACKED), "packed")
+    packed = table(packed_texts(docs).join(R.rivals(kinds, R.HOT), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window), PACKED), "packed")
     cold = packed.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_count(window), R.HITS)
     hot = packed.where("hot").select("packed", "did", "tk", F.expr(R.AT))
     first = table(hot.groupBy("packed").agg(F.min(F.struct("did", "at")).alias("x"), F.count("*").alias("k")).where("k > 1").select("packed", F.col("x.did").alias("did0"), F.col("x.at").alias("at0")), "windows")

@@ -141,6 +141,7 @@ def test_words_removed(spark, monkeypatch, hot):
 @pytest.mark.parametrize("hot", [2, 512])
 def test_bytes_removed(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(suffixes, "RIVALS", hot)
     rows = corpus.texts()
     assert rows_of(suffixes.deduplicate(corpus.frame(spark), 400)) == removed_bytes(rows)
 
@@ -168,6 +169,7 @@ def test_repeats_among_texts_that_share_an_id(spark, shared):
 
 def test_common_passage_in_many_contexts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", 8)
+    monkeypatch.setattr(suffixes, "RIVALS", 8)
     passage = " ".join(f"w{i}" for i in range(120))
     rows = [(i, f"a{i} b{i * i} " + passage + f" c{i} d{i % 3}") for i in range(40)]
     want = sorted(((i, *x) for (i, _), x in zip(rows, brute.removed_words(rows, 20))), key=str)
