@@ -61,10 +61,55 @@ def test_shards_of_awkward_rows(spark):
     by_size = sharding.shard(corpus.frame(spark), target_bytes=10_000).collect()
     assert len({r.shard for r in by_size}) == -(-sum(r["size"] for r in by_size) // 10_000)
     with pytest.raises(ValueError):
-        sharding.shard(corpus.frame(spark), sharding.MAX_LEAVES + 1)
-    whole = sharding.assign(corpus.frame(spark), 4)
-    assert whole.count() == len(corpus.texts()) and whole.columns == corpus.empty(spark).columns
-    assert sharding.assign(corpus.empty(spark), 4).count() == 0
+        sharding.assign(corpus.frame(spark), 4)
+    whole = sharding.assign(corpus.frame(spark), 4, name="leaf")
+    assert whole.count() == len(corpus.texts()) and whole.columns == [*corpus.empty(spark).columns, "leaf"]
+    assert sharding.assign(corpus.empty(spark), 4, name="leaf").count() == 0
+
+
+def plain_tree(rows, first, leaves, box, width):
+    """Shard of each (id, size, coordinates), split at the weighted median along the widest side of the box."""
+    if leaves == 1 or not rows:
+        return {k: first for k, _, _ in rows}
+    d = max(range(len(width)), key=lambda d: (box[d][1] - box[d][0]) / width[d])
+    rows = sorted(rows, key=lambda r: r[2][d])
+    left = leaves // 2
+    goal, upto, best = sum(r[1] for r in rows) * left / leaves, 0, (float("inf"), 0)
+    for k in range(len(rows) + 1):
+        best = min(best, (abs(upto - goal), k))
+        upto += rows[k][1] if k < len(rows) else 0
+    cut = rows[best[1]][2][d] if best[1] < len(rows) else box[d][1]
+    part = lambda side: [side if i == d else b for i, b in enumerate(box)]
+    low, high = part((box[d][0], cut)), part((cut, box[d][1]))
+    return plain_tree(rows[: best[1]], first, left, low, width) | plain_tree(rows[best[1] :], first + left, leaves - left, high, width)
+
+
+@pytest.mark.parametrize("top", [4096, 4])
+def test_shards_against_a_plain_tree(spark, monkeypatch, top):
+    monkeypatch.setattr(sharding, "TOP", top)
+    monkeypatch.setattr(sharding, "TOLERANCE", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.s, r.c) for r in docs.select("doc_id", sharding._size().alias("s"), sharding._coordinates(docs, sharding.DIMS, sharding._hash()).alias("c")).collect()]
+    box = [(min(r[2][d] for r in rows), max(r[2][d] for r in rows)) for d in range(4)]
+    want = plain_tree(rows, 0, 13, box, [high - low for low, high in box])
+    got = {r.doc_id: r.shard for r in sharding.shard(docs, 13).collect()}
+    size = {r[0]: r[1] for r in rows}
+    load = lambda shards: [sum(size[k] for k in shards if shards[k] == s) for s in range(13)]
+    if top == 4096:
+        assert got == want
+    assert max(load(got)) <= max(load(want)) + max(size.values())
+    assert {r.leaf: r.n for r in sharding.assign(docs, 13, name="leaf").groupBy("leaf").agg(F.count("*").alias("n")).collect()} == Counter(got.values())
+
+
+def test_thousands_of_shards_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOP", 64)
+    rows = [(None if k % 3 == 0 else k, "same text" if k % 3 == 0 else f"text {k}") for k in range(6000)]
+    sizes = Counter()
+    for r in sharding.shard(corpus.frame(spark, rows), 1000, dims=("doc_id", "n_chars")).collect():
+        sizes[r.shard] += r["size"]
+    assert len(sizes) == 1000 and max(sizes.values()) <= 9 * 26
+    few = Counter(r.leaf for r in sharding.assign(corpus.frame(spark, rows), 8, name="leaf").collect())
+    assert len(few) == 8 and max(few.values()) < 900
 
 
 def test_many_ties_split(spark):
