@@ -31,8 +31,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def kd_tree_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard."""
-    return sharding.assign(docs, SHARDS)
+    """All documents with their shard; null ids, null or empty texts and equal rows are rows like others, no rows give no rows."""
+    return sharding.assign(docs, SHARDS, name="shard" if "shard" not in docs.columns else "kd_shard")
 
 
 STAGES = [
