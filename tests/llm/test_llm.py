@@ -446,9 +446,10 @@ def test_packed_ngrams_round_trip():
 # Embeddings
 
 
-@pytest.mark.parametrize("block", [8, 2048])
-def test_links_of_vectors(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,bits", [(8, 0), (2048, 0), (16, 2), (2048, 5)])
+def test_links_of_vectors(spark, monkeypatch, block, bits):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "cheapest_bits", lambda n, threshold: bits)
     rnd = np.random.default_rng(6)
     base = rnd.standard_normal((12, 16))
     rows = []
@@ -483,18 +484,36 @@ def test_links_of_vectors_without_ids(spark):
     assert rows_of(out, "vec_id", "n_links", "component_id") == sorted([(None, 1, None)] * 3 + [(4, 1, None), (5, 1, 5), (6, 1, 5), (6, 0, 6)], key=str)
 
 
-def test_estimates_are_unbiased_and_recall_is_whole():
+def test_estimates_are_unbiased_and_bounds_hold():
     rnd = np.random.default_rng(8)
-    a = rnd.standard_normal((300, 64))
-    b = a + 0.38 * rnd.standard_normal((300, 64))
-    i, j = embeddings.close_pairs(a, b, 0.93)
-    ua, ub = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-    want = {(x, y) for x, y in zip(*np.nonzero(ua @ ub.T >= 0.93))}
-    assert set(zip(i.tolist(), j.tolist())) == want and len(want) > 50
-    turned, _, _ = embeddings.encode(ua)
-    _, code, f = embeddings.encode(ub)
-    error = np.einsum("ij,ij->i", turned, code) / f - np.einsum("ij,ij->i", ua, ub)
-    assert abs(error.mean()) < 0.01
+    a = rnd.standard_normal((3000, 64))
+    ua, ub = embeddings.units(a), embeddings.units(a + 0.38 * rnd.standard_normal(a.shape))
+    ca, cb = embeddings.encode(ua), embeddings.encode(ub)
+    found = {(int(x), int(y)) for i, j in embeddings.estimated_pairs(ca, cb, 0.93, False) for x, y in zip(i, j)}
+    near = {(int(x), int(y)) for x, y in zip(*np.nonzero(ua @ ub.T >= 0.93))}
+    assert near <= found and len(near) > 500 and len(found) < 0.01 * 3000**2
+    code = (np.unpackbits(cb[0], axis=1).astype(float) * 2 - 1) / 8
+    error = np.einsum("ij,ij->i", ca[2] * ca[3][:, None], code) / cb[1] - np.einsum("ij,ij->i", ua, ub)
+    assert abs(error.mean()) < 0.005
+
+
+def test_index_finds_links_and_grows_slower_than_pairs(spark, monkeypatch):
+    rnd = np.random.default_rng(17)
+    base = rnd.standard_normal((1500, 64))
+    v = np.concatenate([base, base + 0.36 * rnd.standard_normal(base.shape)])
+    u = embeddings.units(v)
+    i, j = (x.tolist() for x in np.nonzero(np.triu(u @ u.T >= 0.93, 1)))
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(4)
+    for bits, missed in ((8, 1e-6), (8, 0.05)):
+        monkeypatch.setattr(embeddings, "cheapest_bits", lambda n, threshold: bits)
+        monkeypatch.setattr(embeddings, "MISSED", missed)
+        got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+        want = Counter(i + j)
+        recall = sum(got.values()) / sum(want.values())
+        assert len(i) > 300 and all(got[k] <= want[k] for k in got) and recall >= (1 - 1e-5 if missed < 1e-5 else 0.94)
+    monkeypatch.undo()
+    cost = lambda n: (lambda k: embeddings.tables(k, 0.93) * (n * n / 2 ** (k + 1) * embeddings.PAIR_COST + n * embeddings.ROW_COST))(embeddings.cheapest_bits(n, 0.93))
+    assert embeddings.cheapest_bits(1e4, 0.93) == 0 and cost(1e10) / cost(1e8) < 100**1.3
 
 
 # Tokens
