@@ -2,9 +2,12 @@
 
 Fingerprints here weigh each word by 1 + ln(times), so that a few edits move
 few bits; added or cut text moves more bits than the radius, so texts also meet
-by the minima of their shingles' hashes. What both connect is only a candidate
-component. Inside it texts are linked by the Jaccard similarity of their sets of
-word shingles, computed exactly in tasks of bounded size.
+by the minima of their shingles' hashes. A sketch of minima estimates how far a
+candidate is from the text that it meets, and what cannot be alike is parted
+before candidates are closed into components, so loose likeness does not run
+through the corpus. What remains is only a candidate component. Inside it texts
+are linked by the Jaccard similarity of their sets of word shingles, computed
+exactly in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected_components, doc_key, keyed, packed_texts, sent_if_small, table, text_key, unpack
+from .common import as_bytes, connected_components, doc_key, drop, keyed, packed_texts, sent_if_small, table, text_key, unpack
 from .embeddings import forest
 from .repeats import HOT, mixed
 from .simhash import links, shingle_hashes
@@ -27,6 +30,10 @@ WORDS, SIMILARITY, RADIUS = 5, 0.8, 6
 CHUNK = 256
 #: Minima in a band's key, and the odds at which a pair of exactly the wanted similarity may share no key.
 MINIMA, MISSED = 5, 1e-9
+#: Minima, of a byte each, in a text's sketch; standard deviations that an estimate of it may be off; rounds that part the texts of a key.
+SKETCH, SIGMAS, ROUNDS = 160, 5.0, 3
+#: Width of the bins of estimated distances.
+BIN = 0.05
 
 
 def weighed_print(text: bytes) -> int:
@@ -48,8 +55,8 @@ def bands(least: float) -> int:
     return 1 if least >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(least**MINIMA)))
 
 
-def band_keys(hashes: np.ndarray, n: int) -> np.ndarray:
-    """n keys, each of the minima of the hashes in MINIMA orders; texts without shingles have the same keys."""
+def band_keys(hashes: np.ndarray, n: int) -> tuple[np.ndarray, bytes]:
+    """n keys, each of the minima of the hashes in MINIMA orders, and the sketch; texts without shingles have the same ones."""
     seeds = mixed(np.arange(1, 2 * n * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
     low = np.full(n * MINIMA, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 256):
@@ -57,10 +64,20 @@ def band_keys(hashes: np.ndarray, n: int) -> np.ndarray:
     key = np.arange(n, dtype=np.uint64)
     for column in low.reshape(n, MINIMA).T:
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key
+    return key, (mixed(low[:SKETCH]) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-TEXTS = "did long, tk long, t1 long, t2 long, fp long, keys array<long>"
+def gap(least: float, n: int) -> int:
+    """Bins by which the distances of two alike texts from a third differ at most, in a sketch of the minima of n keys.
+
+    One minus the Jaccard similarity is a metric, so alike texts are at most
+    1 - least apart in it; each estimate is off by SIGMAS deviations at most.
+    """
+    off = SIGMAS * math.sqrt(2 * 0.25 / min(SKETCH, n * MINIMA))
+    return math.ceil((1 - least + off) / BIN) + 1
+
+
+TEXTS = "did long, tk long, t1 long, t2 long, fp long, keys array<long>, sketch binary"
 
 
 def _describe(words: int, n: int):
@@ -69,29 +86,77 @@ def _describe(words: int, n: int):
             texts = [t or b"" for t in as_bytes(b.column(2))]
             digest = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for t in texts], np.uint64).reshape(-1, 2)
             fp = np.array([weighed_print(t) for t in texts], np.uint64)
-            keys = pa.array([band_keys(np.unique(shingle_hashes(t, words)), n).view(np.int64) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (digest[:, 0], digest[:, 1], fp)], keys], names=[x.split()[0] for x in TEXTS.split(", ")])
+            bands = [band_keys(np.unique(shingle_hashes(t, words)), n) for t in texts]
+            keys, sketches = pa.array([k.view(np.int64) for k, _ in bands], pa.list_(pa.int64())), pa.array([x for _, x in bands], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (digest[:, 0], digest[:, 1], fp)], keys, sketches], names=[x.split()[0] for x in TEXTS.split(", ")])
 
     return run
 
 
-def band_links(nodes: DataFrame) -> DataFrame:
-    """head, other: links that connect the nodes of each key. nodes: head, keys.
+def _far(batches):
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 3))
+        apart = (x != y).mean(1) if b.num_rows else np.zeros(0)
+        # a byte agrees by chance once in 256
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((np.minimum(1, apart * 256 / 255) / BIN).astype(np.int32))], names=["low", "head", "bin"])
+
+
+def distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """low, head, bin of the estimated distance of each pair (low, head). nodes: head, sketch."""
+    sketch = nodes.select("head", "sketch")
+    both = pairs.join(sketch, "head").join(sketch.select(F.col("head").alias("low"), F.col("sketch").alias("hub")), "low")
+    return table(both.select("low", "head", "sketch", "hub").mapInArrow(_far, "low long, head long, bin int"), "distances")
 
-    The smallest node of a key is its hub. A node is linked to the smallest of
-    its hubs only, and that to the others, so a large group has about one link
-    a node and not one a key.
+
+def _met(rows: DataFrame) -> DataFrame:
+    """key, low (the smallest node of the key, its hub) and head of each row of a key with several.
 
     Keys of over HOT nodes are sent to every task where they are few, so that
     thousands of near copies need not meet in one; the others are joined by shuffle.
     """
-    rows = nodes.select("head", F.explode("keys").alias("key"))
     first = table(rows.groupBy("key").agg(F.min("head").alias("low"), F.count("*").alias("n")).where("n > 1"), "bands")
     hot = sent_if_small(first.where(F.col("n") > HOT).select("key", "low", F.lit(True).alias("hot")))
     tagged = rows.join(hot, "key", "left")
     rest = tagged.where("hot IS NULL").select("head", "key").join(first.where(F.col("n") <= HOT).select("key", "low"), "key")
-    found = tagged.where("hot").select("low", "head").unionByName(rest.select("low", "head"))
-    hubs = table(found.groupBy("head").agg(F.min("low").alias("hub"), F.collect_set("low").alias("lows")), "hubs")
+    found = table(tagged.where("hot").select("key", "low", "head").unionByName(rest.select("key", "low", "head")), "met")
+    drop(first)
+    return found
+
+
+def band_links(nodes: DataFrame, apart: int) -> DataFrame:
+    """head, other: links that connect the nodes of each key which may be alike. nodes: head, keys, sketch; apart: see gap().
+
+    In the order of their distances from the hub, nodes of a key before and
+    after a gap of `apart` bins cannot be alike. Those up to the first gap are
+    linked to the hub; the others are dealt again, with a hub of their own, for
+    ROUNDS rounds, and what then is left is linked without an estimate.
+
+    A node is linked to the smallest of its hubs only, and that to the others,
+    so a large group has about one link a node and not one a key.
+    """
+    rows, near, done = nodes.select("head", F.explode("keys").alias("key")), [], []
+    for _ in range(ROUNDS):
+        found = _met(rows)
+        done.append(found)
+        if found.isEmpty():
+            break
+        far = distances(found.where("head <> low").select("low", "head").distinct(), nodes)
+        binned = table(found.join(far, ["low", "head"], "left").withColumn("bin", F.coalesce("bin", F.lit(0))), "binned")
+        done += [far, binned]
+        # at most 1 / BIN + 1 bins a key
+        reach = F.aggregate(F.sort_array(F.collect_set("bin")), F.lit(0), lambda upto, b: F.when(b - upto < apart, b).otherwise(upto))
+        cuts = table(binned.groupBy("key").agg(reach.alias("upto"), F.max("bin").alias("last")).where("last > upto").select("key", "upto"), "cuts")
+        done.append(cuts)
+        parted = binned.join(sent_if_small(cuts), "key", "left")
+        near.append(parted.where("upto IS NULL OR bin <= upto").select("low", "head"))
+        rows = parted.where("bin > upto").select("head", "key")
+    else:
+        near.append(_met(rows).select("low", "head"))
+    out = nodes.select(F.col("head").alias("low"), "head").where("false")
+    for x in near:
+        out = out.unionByName(x)
+    hubs = table(out.groupBy("head").agg(F.min("low").alias("hub"), F.collect_set("low").alias("lows")), "hubs")
+    drop(*done)
     ends = hubs.select("hub", F.col("head").alias("other")).unionByName(hubs.select("hub", F.explode("lows").alias("other")))
     return table(ends.where("hub <> other").select(F.col("hub").alias("head"), "other").distinct(), "links")
 
@@ -163,10 +228,15 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radiu
     the group's first is its smallest id's, or of several such texts the one
     with the smallest hash.
     """
-    texts = table(keyed(docs).mapInArrow(_describe(words, bands(least)), TEXTS), "texts")
-    nodes = texts.groupBy("t1", "t2", "tk", "fp").agg(F.min("did").alias("head"), F.first("keys").alias("keys"))
+    n = bands(least)
+    texts = table(keyed(docs).mapInArrow(_describe(words, n), TEXTS), "texts")
+    nodes = texts.groupBy("t1", "t2", "tk", "fp").agg(F.min("did").alias("head"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    met = links(nodes.select("fp", F.col("node").alias("head")), radius).unionByName(band_links(nodes.select(F.col("node").alias("head"), "keys")))
+    sketched = nodes.select(F.col("node").alias("head"), "keys", "sketch")
+    # the keys alone find what is alike, so links of prints that the sketches rule out can go
+    prints = links(nodes.select("fp", F.col("node").alias("head")), radius)
+    prints = distances(prints.select(F.col("head").alias("low"), F.col("other").alias("head")), sketched).where(F.col("bin") < gap(least, n))
+    met = prints.select(F.col("low").alias("head"), F.col("head").alias("other")).unionByName(band_links(sketched, gap(least, n)))
     near = table(connected_components(met, "head", "other").select("node", "root"), "candidates")
     sizes = table(near.groupBy("root").agg(F.count("*").alias("m")), "sizes")
     wanted = near.join(sizes, "root").join(nodes.select("node", F.col("head").alias("did"), "tk"), "node")
