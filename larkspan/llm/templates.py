@@ -26,8 +26,8 @@ from .common import as_bytes, doc_id, doc_key, table, text_key
 WINDOW = 8
 #: Items with fewer words have no template; they are looked for by their exact words.
 LEAST = 4
-#: A benchmark of at most so many bytes of text is sent to each task; a larger one is joined by shuffled window hashes.
-SENT_BYTES = 32 << 20
+#: A benchmark of at most so many bytes of text is sent to each executor, where it takes some twenty times that; a larger one is joined by shuffled window hashes.
+SENT_BYTES = 4 << 20
 #: Words a worker keeps.
 KEPT = 300_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -188,9 +188,11 @@ def _match_batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=[c.split()[0] for c in MATCH.split(", ")])
 
 
-def _match_sent(sent: tuple[dict, list]):
+def _match_sent(sent):
+    """sent: index() of the benchmark, as a broadcast variable, which an executor fetches once."""
+
     def run(batches):
-        by_length, rows = sent
+        by_length, rows = sent.value
         known = Lexicon()
         for b in batches:
             out: list = [[] for _ in range(6)]
@@ -280,7 +282,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes:
     texts = spread(docs.select(doc_key().alias("did"), text_key().alias("tk"), "text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= sent_bytes:
-        sent = index([(r["item_id"], r["text"].encode()) for r in items.collect()], n)
+        sent = docs.sparkSession.sparkContext.broadcast(index([(r["item_id"], r["text"].encode()) for r in items.collect()], n))
         return texts.mapInArrow(_match_sent(sent), MATCH)
     theirs = table(items.select("item_id", F.lit(0).cast("long").alias("tk"), "text").mapInArrow(_spread(None, n), WINDOWS), "benchmark")
     lengths = [r["n"] for r in theirs.select("n").distinct().collect()]  # at most 2 x WINDOW values
@@ -292,11 +294,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """doc_id, item_id, windows, coverage, changed_slots; the last is above 0 for a re-parameterised item."""
+    """doc_id, item_id, windows, coverage, changed_slots of each row and item that share a template, as matches() finds them.
+
+    changed_slots is above 0 for a re-parameterised item. Rows with null ids
+    are reported with a null id, repeated rows and items each on their own;
+    null or empty texts and empty tables give no rows.
+    """
     return matches(docs, benchmark, n, sent_bytes).select(doc_id("did").alias("doc_id"), "item_id", "windows", "coverage", "changed_slots")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """The rows of docs, all columns, without those that hold a benchmark item or a re-parameterised one; rows are told apart by id and text."""
+    """The rows of docs, all columns, without those that hold a benchmark item or a re-parameterised one.
+
+    Rows are told apart by id and text, so a null or repeated id does not take
+    other rows along; null and empty texts stay; an empty benchmark removes
+    nothing.
+    """
     gone = table(matches(docs, benchmark, n, sent_bytes).select(F.col("did").alias("__lk_did"), F.col("tk").alias("__lk_tk")).distinct(), "contaminated")
     return docs.join(gone, (doc_key() == F.col("__lk_did")) & (text_key() == F.col("__lk_tk")), "left_anti")
