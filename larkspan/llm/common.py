@@ -48,9 +48,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the lineage ends there and survives lost executors.
 
-    The shuffle files of the write go when it ends.
+    The shuffle files of the write go when it ends. A driver whose heap is over
+    half full collects its garbage first: plans of hundreds of small writes add
+    up where little memory is given to it.
     """
     spark = df.sparkSession
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if 2 * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
+        spark.sparkContext._jvm.System.gc()
     path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

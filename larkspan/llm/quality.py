@@ -116,6 +116,7 @@ def fit(rows: list[tuple], ridge: float = 1e-4, steps: int = 150) -> Model:
     at = np.concatenate([r[0] for r in rows])
     value = np.concatenate([r[1] for r in rows])
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    del rows
     n, share = len(y), np.bincount(y, minlength=GRADES) / len(y)
     docs_with = np.bincount(at, minlength=FEATURES)
     telling = np.zeros(FEATURES, bool)
@@ -125,7 +126,7 @@ def fit(rows: list[tuple], ridge: float = 1e-4, steps: int = 150) -> Model:
     telling &= docs_with >= LEAST_DOCS
     at, value, owner = at[telling[at]], value[telling[at]], owner[telling[at]]
     used, at = np.unique(at, return_inverse=True)
-    m = len(used)
+    at, value, m = at.astype(np.int32), value.astype(np.float32), len(used)
     weight = (1 / share[y]) ** EVEN
     weight /= weight.mean()
 
