@@ -6,14 +6,21 @@
 
 Each function in braces takes the kinds by position; a result kind is needed
 exactly if a function returns something. Types are words, optionally const,
-struct or union, with any number of stars.
+struct or union, with any number of stars. register() makes registered
+functions of declarations; the command line writes a module that does.
 """
 
 from __future__ import annotations
 
+import argparse
+import inspect
 import re
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from . import registry as X
+
 TOKEN = re.compile(r"\s*(->|[A-Za-z_]\w*|\d+(?:\.\d+)?|\S)")
 
 
@@ -185,3 +192,102 @@ def parse(text: str) -> list[Annotation]:
                 raise ValueError(f"{f.name} has {len(f.params)} parameters, the annotation {len(params)}")
         out.append(Annotation(tuple(params), result, tuple(defaults), tuple(functions)))
     return out
+
+
+#: The registry's kind of a declared one; a generic letter is whatever its other uses and the call's other arguments make it: rows.
+MEANING = {"Rows": X.ROWS, "Size": X.WHOLE, "Total": X.TOTAL, "Distinct": X.DISTINCT, "Groups": X.GROUPS, "Batches": X.BATCHES}
+#: Column types of C types; pointers are columns of what they point to.
+COLUMN_TYPES = {"double": "double", "float": "float", "long": "bigint", "int": "int", "short": "smallint", "char": "string", "bool": "boolean"}
+
+
+def column_type(c_type: str) -> str:
+    """The column type of a C type: const and stars say nothing about it."""
+    base = c_type.replace("const ", "").rstrip("* ").split()[-1]
+    if base not in COLUMN_TYPES:
+        raise ValueError(f"no column type for {c_type}")
+    return COLUMN_TYPES[base]
+
+
+def meanings(a: Annotation, bound: dict[str, str] | None = None) -> tuple[tuple[str, ...], str | None]:
+    """The registry's kinds of the parameters and of the result. bound gives kinds of generic letters; one letter has one kind throughout."""
+    bound = dict(bound or {})
+
+    def of(kind: Kind) -> str:
+        if kind.form == "broadcast":
+            return X.WHOLE
+        if kind.form == "generic":
+            return bound.setdefault(kind.name, X.ROWS)
+        if kind.name not in MEANING:
+            raise ValueError(f"unknown kind {kind.name}")
+        return MEANING[kind.name]
+
+    return tuple(of(k) for _, k in a.params), of(a.result) if a.result else None
+
+
+def register(text: str, functions: dict[str, Callable], native: dict[str, Callable] | None = None, bound: dict[str, str] | None = None) -> dict[str, X.Registered]:
+    """Registers the declared functions, which are given by name, with the kinds, defaults and result types of their declarations."""
+    out = {}
+    for a in parse(text):
+        kinds, result = meanings(a, bound)
+        for d in a.functions:
+            if result is None:
+                raise ValueError(f"{d.name} returns nothing; columns cannot be changed in place")
+            if d.name not in functions:
+                raise ValueError(f"{d.name} is declared but not given")
+            defaults = {name: float(value) if re.fullmatch(r"[\d.]+", value) else value for name, value in a.defaults}
+            schema = column_type(d.result) if result == X.ROWS else f"value {column_type(d.result)}"
+            out[d.name] = X.splittable(kinds, result, schema, (native or {}).get(d.name), name=d.name)(_with_defaults(functions[d.name], [n for n, _ in a.params], defaults))
+    return out
+
+
+def _with_defaults(f: Callable, names: list[str], defaults: dict) -> Callable:
+    """f with the declared parameter names and their defaults."""
+    kind, none = inspect.Parameter.POSITIONAL_OR_KEYWORD, inspect.Parameter.empty
+    signature = inspect.Signature([inspect.Parameter(n, kind, default=defaults.get(n, none)) for n in names])
+
+    def wrapped(*args, **named):
+        given = signature.bind(*args, **named)
+        given.apply_defaults()
+        return f(*given.args)
+
+    wrapped.__signature__, wrapped.__name__ = signature, f.__name__
+    return wrapped
+
+
+def module_of(text: str, source: str, prefix: str = "") -> str:
+    """Python source of a module that registers the declared functions of the module `source`, each under its prefixed name."""
+    names = [d.name for a in parse(text) for d in a.functions]
+    lines = ['"""Generated from declarations; registers the functions of ' + source + '."""', "", f"import {source} as _source", "from larkspan.functions import declare", "", f"DECLARATIONS = {text!r}", "_found = declare.register(DECLARATIONS, {name: getattr(_source, name) for name in " + repr(names) + "})"]
+    return "\n".join([*lines, *(f"{prefix}{n} = _found[{n!r}]" for n in names), ""])
+
+
+def main(args: list[str] | None = None) -> int:
+    """python -m larkspan.functions.declare FILE -m MODULE [-o OUT] [-p PREFIX] [-d]"""
+    p = argparse.ArgumentParser(prog="larkspan.functions.declare", description="Checks a file of declarations and writes a module that registers the functions.")
+    p.add_argument("file")
+    p.add_argument("-m", "--module", help="the module that has the functions; without it the file is only checked")
+    p.add_argument("-o", "--out", help="where the module goes; standard output by default")
+    p.add_argument("-p", "--prefix", default="", help="before the names of the registered functions")
+    p.add_argument("-d", "--debug", action="store_true", help="show what was read")
+    given = p.parse_args(args)
+    with open(given.file, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        found = parse(text)
+    except ValueError as e:
+        print(f"{given.file}: {e}", file=sys.stderr)
+        return 1
+    if given.debug:
+        print(*found, sep="\n", file=sys.stderr)
+    if given.module:
+        source = module_of(text, given.module, given.prefix)
+        if given.out:
+            with open(given.out, "w", encoding="utf-8") as f:
+                f.write(source)
+        else:
+            print(source, end="")
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

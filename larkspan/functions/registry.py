@@ -90,17 +90,23 @@ class Registered:
         return parts.distinct() if self.returns == DISTINCT else parts.agg(F.sum(name).alias(name))
 
     def merge(self, df: DataFrame, *fixed) -> DataFrame:
-        """split, func and combine of the registered Partitioning: partials in each partition, merged in one group."""
-        func, how = self.func, self.partitioning
+        """split, func and combine of the registered Partitioning: partials merged in each partition as they come, then in a tree."""
+        from ..operators.aggregate import combined
 
-        def partial(frames):
-            for part in how.split(frames):
-                yield func(part, *fixed)
+        func, how = self.func, self.partitioning
 
         def final(frame: pd.DataFrame) -> pd.DataFrame:
             return how.combine([frame.iloc[[k]].reset_index(drop=True) for k in range(len(frame))])
 
-        return df.mapInPandas(partial, self.schema).groupBy().applyInPandas(final, self.schema)
+        def partial(frames):
+            merged = None
+            for part in how.split(frames):
+                new = func(part, *fixed)
+                merged = new if merged is None else how.combine([merged, new])
+            if merged is not None:
+                yield merged
+
+        return combined(df.mapInPandas(partial, self.schema), final)
 
     def apply(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """The function over each whole group; rows without a key are left out."""

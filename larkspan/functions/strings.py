@@ -46,7 +46,7 @@ def without_space(words: Column) -> Column:
     return F.filter(words, lambda w: ~w.rlike(r"^\s*$"))
 
 
-#: Tokens after which a sentence begins.
+# The tokens after which a sentence begins.
 STOPS = (".", "!", "?", "...")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +71,32 @@ def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.sum(sum((F.col(c) for c in columns[1:]), F.col(columns[0]))).alias("checksum"))
 
 
+#: Partial results that one task combines.
+FAN_IN = 64
+
+
+def combined(parts: DataFrame, combine: Callable) -> DataFrame:
+    """combine(pandas frame of partials) in a tree: at most FAN_IN partitions' partials meet in one task; combine must be associative."""
+    schema, n = parts.schema, parts.rdd.getNumPartitions()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        parts = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(n)).alias("_part")).applyInPandas(lambda f: combine(f), schema)
+    return parts.groupBy().applyInPandas(lambda f: combine(f), schema)
+
+
 def two_phase(df: DataFrame, partial: Callable, schema: str, combine: Callable, keys: list[str] | None = None) -> DataFrame:
-    """partial(iterator of pandas frames) -> frames in each partition, then combine(pandas frame of partials) per key.
+    """partial(iterator of pandas frames) -> frames, combined in each partition, then combine(pandas frame of partials) per key.
 
-    combine must be associative; without keys all partials, one per partition, meet in one group.
+    combine must be associative; without keys the partitions' partials meet in a tree.
     """
-    parts = df.mapInPandas(partial, schema)
-    return parts.groupBy(*(keys or [])).applyInPandas(combine, schema)
+
+    def run(frames):
+        whole = list(partial(frames))
+        if whole:
+            yield combine(pd.concat(whole, ignore_index=True))
+
+    parts = df.mapInPandas(run, schema)
+    return parts.groupBy(*keys).applyInPandas(combine, schema) if keys else combined(parts, combine)
 
 
 def append_strips(strips: DataFrame, image: str = "image_id", order: str = "y", data: str = "strip") -> DataFrame:

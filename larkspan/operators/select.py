@@ -64,3 +64,10 @@ def fill_diagonal(df: DataFrame, column: str, value: float) -> DataFrame:
 
 def length(df: DataFrame) -> int:
     return df.count()
+
+
+def program(df: DataFrame, **steps: str) -> DataFrame:
+    """df with columns that expressions in SQL text give, each of which may use those before it; all stays in generated code."""
+    for name, text in steps.items():
+        df = df.withColumn(name, F.expr(text))
+    return df

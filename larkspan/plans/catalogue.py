@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import declare as D
 from ..functions import numeric as N
 from ..functions import registry as X
 from ..functions import strings as S
@@ -18,6 +19,7 @@ from ..operators import aggregate as A
 from ..operators import grid as G
 from ..operators import images as I
 from ..operators import joins as J
+from ..operators import pictures as Q
 from ..operators import select as P
 from ..operators import topk as K
 from ..sources import tables as T
@@ -394,7 +396,23 @@ def erf_fast(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(N.erf((F.col("l_quantity") - 25) / 20, "fast")).alias("e"))
 
 
-@query()
+def _erf_exact_sql(x: str) -> str:
+    def ratio(parts, v):
+        def value(terms):
+            out = f"{terms[0]!r}::DOUBLE"
+            for t in terms[1:]:
+                out = f"({out} * {v} + {t!r}::DOUBLE)"
+            return out
+
+        return f"({value(parts[0])} / {value(parts[1])})"
+
+    a = f"abs({x})"
+    z = f"(1.0::DOUBLE / ({a} * {a}))"
+    far = f"(CASE WHEN {a} <= {N.ERF_MIDDLE_END!r}::DOUBLE THEN 1.0::DOUBLE - exp(-{a} * {a}) * {ratio(N.ERF_MIDDLE, a)} ELSE 1.0::DOUBLE - exp(-{a} * {a}) / {a} * ({1 / N.ROOT_OF_PI!r}::DOUBLE - {z} * {ratio(N.ERF_TAIL, z)}) END)"
+    return f"(CASE WHEN {a} <= {N.ERF_CENTRE_END!r}::DOUBLE THEN {x} * {ratio(N.ERF_CENTRE, f'({x} * {x})')} WHEN {x} < 0 THEN -{far} ELSE {far} END)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round({_erf_exact_sql('((l_quantity - 25) / 20)')}, 6) + 0.0 AS e FROM lineitem")
 def erf_exact(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(N.erf((F.col("l_quantity") - 25) / 20)).alias("e"))
 
@@ -422,14 +440,16 @@ def sentence_tokens(spark, d):
 # Images
 
 
-PIXELS = (3, 48, 64)
-PIXEL_SQL = """p AS (SELECT (id // 3072)::INTEGER AS image_id, (id // 64 % 48)::INTEGER AS y, (id % 64)::INTEGER AS x,
-  ((id % 64) * 7 + id // 3072) % 256 / 255.0::DOUBLE AS r, ((id // 64 % 48) * 5 + id % 64) % 256 / 255.0::DOUBLE AS g, ((id % 64) + (id // 64 % 48) * 3) % 256 / 255.0::DOUBLE AS b FROM range(9216) t(id))"""
+HEIGHT, WIDTH = 48, 64
+#: Images and grids grow with the part table: an image for each 64 parts, and grids of about as many cells as parts.
+PIXEL_SQL = f"""ids AS (SELECT unnest(range({HEIGHT * WIDTH} * ((count(*) + 63) // 64))) AS id FROM part),
+  p AS (SELECT (id // {HEIGHT * WIDTH})::INTEGER AS image_id, (id // {WIDTH} % {HEIGHT})::INTEGER AS y, (id % {WIDTH})::INTEGER AS x,
+  ((id % {WIDTH}) * 7 + id // {HEIGHT * WIDTH}) % 256 / 255.0::DOUBLE AS r, ((id // {WIDTH} % {HEIGHT}) * 5 + id % {WIDTH}) % 256 / 255.0::DOUBLE AS g, ((id % {WIDTH}) + (id // {WIDTH} % {HEIGHT}) * 3) % 256 / 255.0::DOUBLE AS b FROM ids)"""
 CLOSE = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in "rgb")
 
 
-def _pixels(spark):
-    return T.pixels(spark, *PIXELS)
+def _pixels(spark, d):
+    return T.pixels(spark, -(-read(spark, d, "part").count() // 64), HEIGHT, WIDTH)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -438,7 +458,7 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {PIXEL_SQL} SELECT image_id, y, x, {CLOSE} FROM p")
 def image_pixels(spark, d):
-    return _shown(_pixels(spark))
+    return _shown(_pixels(spark, d))
 
 
 def _fill_sql(source: str, target: str) -> str:
@@ -447,7 +467,7 @@ def _fill_sql(source: str, target: str) -> str:
 
 @query(f"WITH {PIXEL_SQL}, {_fill_sql('p', 'q')} SELECT image_id, y, x, {CLOSE} FROM q")
 def image_colorize(spark, d):
-    return _shown(I.colorize(_pixels(spark), "#222b6d", "rgb(20%,20%,20%)"))
+    return _shown(I.colorize(_pixels(spark, d), "#222b6d", "rgb(20%,20%,20%)"))
 
 
 GREY_SQL = "0.212656::DOUBLE * r + 0.715158::DOUBLE * g + 0.072186::DOUBLE * b"
@@ -455,7 +475,7 @@ GREY_SQL = "0.212656::DOUBLE * r + 0.715158::DOUBLE * g + 0.072186::DOUBLE * b"
 
 @query(f"WITH {PIXEL_SQL}, q AS (SELECT image_id, y, x, 1.0 - ({GREY_SQL}) AS r, 1.0 - ({GREY_SQL}) AS g, 1.0 - ({GREY_SQL}) AS b FROM p) SELECT image_id, y, x, {CLOSE} FROM q")
 def image_grey_negate(spark, d):
-    return _shown(I.negate(I.grey(_pixels(spark)), grey_only=True))
+    return _shown(I.negate(I.grey(_pixels(spark, d)), grey_only=True))
 
 
 def _contrast_sql(source: str, target: str) -> str:
@@ -482,27 +502,27 @@ def _modulate_sql(source: str, target: str, light: float, sat: float) -> str:
 
 @query(f"WITH {PIXEL_SQL}, {_contrast_sql('p', 'q')} SELECT image_id, y, x, {CLOSE} FROM q")
 def image_contrast(spark, d):
-    return _shown(I.contrast(_pixels(spark)))
+    return _shown(I.contrast(_pixels(spark, d)))
 
 
 @query(f"WITH {PIXEL_SQL}, {_gamma_sql('p', 'q', 0.7)} SELECT image_id, y, x, {CLOSE} FROM q")
 def image_gamma(spark, d):
-    return _shown(I.gamma(_pixels(spark), 0.7))
+    return _shown(I.gamma(_pixels(spark, d), 0.7))
 
 
 @query(f"WITH {PIXEL_SQL}, {_modulate_sql('p', 'q', 110.0, 60.0)} SELECT image_id, y, x, {CLOSE} FROM q")
 def image_modulate(spark, d):
-    return _shown(I.modulate(_pixels(spark), 110.0, 60.0, 100.0))
+    return _shown(I.modulate(_pixels(spark, d), 110.0, 60.0, 100.0))
 
 
 @query(f"WITH {PIXEL_SQL}, o AS (SELECT image_id, y, x, 1 - r AS r, 1 - g AS g, 1 - b AS b FROM p) SELECT p.image_id, p.y, p.x, {', '.join(f'round(0.3 * o.{c} + 0.7 * p.{c}, 6) + 0.0 AS {c}' for c in 'rgb')} FROM p JOIN o USING (image_id, y, x)")
 def image_blend(spark, d):
-    return _shown(I.blend(_pixels(spark), I.negate(_pixels(spark)), "30,70"))
+    return _shown(I.blend(_pixels(spark, d), I.negate(_pixels(spark, d)), "30,70"))
 
 
 @query(f"WITH {PIXEL_SQL} SELECT image_id, (y // 20)::INTEGER AS strip, count(*)::BIGINT AS n, round(sum(r), 4) AS total FROM p GROUP BY ALL")
 def image_strips(spark, d):
-    return I.strips(_pixels(spark), 20).groupBy("image_id", "strip").agg(F.count("*").alias("n"), r(F.sum("r"), 4).alias("total"))
+    return I.strips(_pixels(spark, d), 20).groupBy("image_id", "strip").agg(F.count("*").alias("n"), r(F.sum("r"), 4).alias("total"))
 
 
 _GOTHAM = [_modulate_sql("p", "m", 120.0, 10.0)] + [_fill_sql("m" if k == 0 else f"f{k - 1}", f"f{k}") for k in range(5)] + [_gamma_sql("f4", "h", 0.5), _contrast_sql("h", "c1"), _contrast_sql("c1", "c2")]
@@ -510,7 +530,7 @@ _GOTHAM = [_modulate_sql("p", "m", 120.0, 10.0)] + [_fill_sql("m" if k == 0 else
 
 @query(f"WITH {PIXEL_SQL}, {', '.join(_GOTHAM)} SELECT image_id, y, x, {CLOSE} FROM c2")
 def gotham(spark, d):
-    return _shown(I.gotham(_pixels(spark)))
+    return _shown(I.gotham(_pixels(spark, d)))
 
 
 def _tone_sql(source: str, target: str, tone: str) -> str:
@@ -522,7 +542,12 @@ _NASHVILLE = [f"n AS (SELECT *, 1.0 - ({GREY_SQL}) AS neg FROM p)", _tone_sql("n
 
 @query(f"WITH {PIXEL_SQL}, {', '.join(_NASHVILLE)} SELECT image_id, y, x, {CLOSE} FROM h")
 def nashville(spark, d):
-    return _shown(I.nashville(_pixels(spark)))
+    return _shown(I.nashville(_pixels(spark, d)))
+
+
+@query(f"WITH {PIXEL_SQL} SELECT image_id, y, x, {', '.join(f'round(floor({c} * 255 + 0.5) / 255, 6) AS {c}' for c in 'rgb')} FROM p")
+def image_files(spark, d):
+    return _shown(Q.from_files(Q.to_files(_pixels(spark, d))))
 
 
 # Generators
@@ -640,7 +665,105 @@ def udf_partitioning(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS sum FROM lineitem")
 def vector_add(spark, d):
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_quantity + l_tax").alias("sum"))
+    return P.program(read(spark, d, "lineitem"), sum="l_quantity + l_tax").select("l_orderkey", "l_linenumber", "sum")
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity + l_tax) * (1 - l_discount), 6) AS net, round((l_quantity + l_tax) * (1 - l_discount) * 2, 6) AS twice FROM lineitem")
+def expression_program(spark, d):
+    out = P.program(read(spark, d, "lineitem"), total="l_quantity + l_tax", net="total * (1 - l_discount)", twice="net * 2")
+    return out.select("l_orderkey", "l_linenumber", r("net").alias("net"), r("twice").alias("twice"))
+
+
+DECLARED = """
+@split (a: S, b: S, k: broadcast) -> Rows() default k: 2.5 { double blend(const double *a, const double *b, double k); }
+@split (a: Rows()) -> Total() { double whole(const double *a); }
+"""
+
+
+def blend(a, b, k):
+    return a * k + b
+
+
+def whole(a):
+    return float(a.sum())
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity * 2.5 + l_tax, 6) AS blended, round(l_quantity * 4 + l_tax, 6) AS other FROM lineitem")
+def declared_rows(spark, d):
+    f = D.register(DECLARED, {"blend": blend, "whole": whole})["blend"]
+    q, t = F.col("l_quantity"), F.col("l_tax")
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(f.column(q, t, 2.5)).alias("blended"), r(f.column(q, t, 4.0)).alias("other"))
+
+
+@query("SELECT round(sum(l_extendedprice), 2) AS value FROM lineitem")
+def declared_total(spark, d):
+    f = D.register(DECLARED, {"blend": blend, "whole": whole})["whole"]
+    return f.reduce(read(spark, d, "lineitem"), "l_extendedprice").select(r("value", 2).alias("value"))
+
+
+def _accepted(spark, cases: list) -> DataFrame:
+    """case and whether the call goes through without a ValueError."""
+
+    def passes(call) -> bool:
+        try:
+            call()
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(k, passes(call)) for k, call in enumerate(cases)], "case int, accepted boolean")
+
+
+@query("SELECT * FROM (VALUES (0, true), (1, false), (2, false), (3, false), (4, false)) t(\"case\", accepted)")
+def registration_checks(spark, d):
+    one = lambda a, k=1: a
+    return _accepted(spark, [
+        lambda: X.splittable((X.ROWS,), schema="double")(one), lambda: X.splittable((X.ROWS, X.ROWS, X.ROWS), schema="double")(one), lambda: X.splittable(("pieces",), schema="double")(one),
+        lambda: X.splittable((X.ROWS,))(one), lambda: X.splittable((), schema="double")(one),
+    ])
+
+
+@query("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, false), (5, false), (6, true), (7, true), (8, false)) t(\"case\", accepted)")
+def declaration_checks(spark, d):
+    text = "@split (n: Size(), a: Rows(n)) -> Rows(n) { double *halve(long n, const double *a); }"
+    return _accepted(spark, [
+        lambda: D.parse(text), lambda: D.parse(text.replace("@split", "// a comment\n@split")), lambda: D.parse(text.replace("Rows(n))", "Rows(m))")), lambda: D.parse(text.replace("-> Rows(n) ", "")),
+        lambda: D.parse(text.replace("long n, ", "")), lambda: D.parse(text.replace("Rows(n) {", "Rows {")), lambda: D.parse_type("const struct point **"), lambda: D.parse_declaration("float *norm(int, struct point *p);"),
+        lambda: D.parse_type("int * const"),
+    ])
+
+
+# Readers and frames
+
+
+def _round_trip(spark, d, sep: str):
+    parts = read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    path = T.scratch(spark)
+    if len(sep) == 1:
+        T.save(parts, path, "csv", sep=sep)
+    else:
+        T.save(parts.select(F.concat_ws(sep, *parts.columns)), path, "text")
+    return T.read_csv(spark, path, parts.schema.simpleString()[7:-1].replace(":", " "), sep)
+
+
+PARTS_SQL = "SELECT p_partkey, p_name, p_brand, p_size FROM part"
+
+
+@query(PARTS_SQL)
+def csv_files(spark, d):
+    return _round_trip(spark, d, ",")
+
+
+@query(PARTS_SQL)
+def separated_files(spark, d):
+    return _round_trip(spark, d, "::")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey + 1 AS next FROM nation")
+def pandas_frames(spark, d):
+    frame = T.to_pandas(read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    frame["next"] = frame.pop("n_regionkey") + 1
+    return T.from_pandas(spark, frame)
 
 
 # Workloads
@@ -651,19 +774,21 @@ def _options(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (p / 1000).alias("price"), (p / 1000 * (0.9 + F.col("l_discount") * 3)).alias("strike"), (F.col("l_quantity") / 50).alias("t"), F.col("l_tax").alias("rate"), (F.col("l_discount") + 0.1).alias("vol"))
 
 
-OPTIONS_SQL = f"""o AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 1000 AS price, l_extendedprice / 1000 * (0.9 + l_discount * 3) AS strike, l_quantity / 50 AS t, l_tax AS rate, l_discount + 0.1 AS vol FROM lineitem),
+def _options_sql(erf) -> str:
+    return f"""o AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 1000 AS price, l_extendedprice / 1000 * (0.9 + l_discount * 3) AS strike, l_quantity / 50 AS t, l_tax AS rate, l_discount + 0.1 AS vol FROM lineitem),
 a AS (SELECT *, (log2(price / strike) + (rate + vol * vol * 3) * t) / (sqrt(t) * vol) AS d1, sqrt(t) * vol AS root FROM o),
 b AS (SELECT *, d1 * {1 / math.sqrt(2)!r}::DOUBLE AS x1, (d1 - root) * {1 / math.sqrt(2)!r}::DOUBLE AS x2, exp(-rate * t) AS e FROM a),
-c AS (SELECT *, 3 + 3 * {_erf_sql('x1')} AS n1, 3 + 3 * {_erf_sql('x2')} AS n2 FROM b)"""
+c AS (SELECT *, 3 + 3 * {erf('x1')} AS n1, 3 + 3 * {erf('x2')} AS n2 FROM b)
+SELECT l_orderkey, l_linenumber, round(price * n1 - e * strike * n2, 5) + 0.0 AS call, round(e * strike * (1.5 - n2) - price * (1.5 - n1), 5) + 0.0 AS put FROM c"""
 
 
-@query(f"WITH {OPTIONS_SQL} SELECT l_orderkey, l_linenumber, round(price * n1 - e * strike * n2, 5) + 0.0 AS call, round(e * strike * (1.5 - n2) - price * (1.5 - n1), 5) + 0.0 AS put FROM c")
+@query(f"WITH {_options_sql(_erf_sql)}")
 def black_scholes(spark, d):
     out = W.black_scholes(_options(spark, d), erf="fast")
     return out.select("l_orderkey", "l_linenumber", r("call", 5).alias("call"), r("put", 5).alias("put"))
 
 
-@query()
+@query(f"WITH {_options_sql(_erf_exact_sql)}")
 def black_scholes_exact(spark, d):
     out = W.black_scholes(_options(spark, d))
     return out.select("l_orderkey", "l_linenumber", r("call", 5).alias("call"), r("put", 5).alias("put"))
@@ -730,7 +855,17 @@ def rating_std_top(spark, d):
     return W.rating_std_top(_rated(spark, d), "title", "rating", 25).select("title", r("std").alias("std"))
 
 
-@query()
+_TAGGED = "CASE " + " ".join(f"WHEN lower(a) IN ({', '.join(repr(w) for w, t in W.TAGS.items() if t == tag)}) THEN '{tag}'" for tag in dict.fromkeys(W.TAGS.values())) + " END"
+_TITLE = r"(regexp_matches(a, '\p{Lu}') AND NOT regexp_matches(a, '(^|\P{L})\p{Ll}|\p{L}\p{Lu}'))"
+_BEGINS = "(i = 1 OR (i >= 3 AND w[i - 1] IN ('.', '!', '?', '...')))"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(\.\.\.|[\p{{L}}\p{{M}}\p{{N}}_''-]+|[^\s\p{{L}}\p{{M}}\p{{N}}_''-])') AS w FROM documents)
+    SELECT doc_id, coalesce(array_to_string(list_transform(w, lambda a, i: CASE WHEN {_BEGINS} AND {_TAGGED} IS NOT NULL AND {_TITLE} THEN lower(a) ELSE a END || '|' || coalesce({_TAGGED},
+      CASE WHEN regexp_matches(a, '^[\d.,]*\d[\d.,]*$') THEN 'CD' WHEN regexp_matches(a, '^[^\p{{L}}\p{{N}}]+$') THEN '.' WHEN NOT {_BEGINS} AND {_TITLE} THEN 'NNP'
+      WHEN lower(a) LIKE '%ing' THEN 'VBG' WHEN lower(a) LIKE '%ed' THEN 'VBD' WHEN lower(a) LIKE '%ly' THEN 'RB' WHEN lower(a) LIKE '%s' THEN 'NNS' ELSE 'NN' END)), ' '), '') AS tagged FROM t"""
+)
 def text_tag(spark, d):
     return W.tag_texts(read(spark, d, "documents"))
 
@@ -752,34 +887,37 @@ def nbody_step(spark, d):
     return W.nbody_step(_bodies(spark, d), dt=0.1, gravity=1.0).select("id", *[r(c, 5).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")])
 
 
-WATER = 32
+WATER_SQL = """side AS (SELECT floor(sqrt(count(*)))::BIGINT AS n FROM part), ids AS (SELECT n, unnest(range(n * n)) AS id FROM side),
+s0 AS (SELECT n, (id // n)::INTEGER AS i, (id % n)::INTEGER AS j, 0.1::DOUBLE * (id // n) AS eta, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM ids)"""
+
+
+def _water_side(spark, d) -> int:
+    return math.isqrt(read(spark, d, "part").count())
 
 
 @query(
-    f"""WITH g AS (SELECT (id // {WATER})::INTEGER AS i, (id % {WATER})::INTEGER AS j, 0.1::DOUBLE * (id // {WATER}) AS eta FROM range({WATER * WATER}) t(id))
-    SELECT a.i, a.j, round(a.eta, 6) AS eta, 0.0::DOUBLE AS u, round(-(n.eta - p.eta) / (2.0::DOUBLE / {WATER}) / {WATER} / 100, 8) + 0.0 AS v
-    FROM g a JOIN g n ON n.i = (a.i + 1) % {WATER} AND n.j = a.j JOIN g p ON p.i = (a.i + {WATER - 1}) % {WATER} AND p.j = a.j"""
+    f"""WITH {WATER_SQL}
+    SELECT a.i, a.j, round(a.eta, 6) AS eta, 0.0::DOUBLE AS u, round(-(b.eta - t.eta) / (2.0::DOUBLE / a.n) / a.n / 100, 8) + 0.0 AS v
+    FROM s0 a JOIN s0 b ON b.i = (a.i + 1) % a.n AND b.j = a.j JOIN s0 t ON t.i = (a.i + a.n - 1) % a.n AND t.j = a.j"""
 )
 def shallow_water_step(spark, d):
-    return G.shallow_water_step(T.still_water(spark, WATER), WATER).select("i", "j", r("eta").alias("eta"), r("u").alias("u"), r("v", 8).alias("v"))
+    n = _water_side(spark, d)
+    return G.shallow_water_step(T.still_water(spark, n), n).select("i", "j", r("eta").alias("eta"), r("u").alias("u"), r("v", 8).alias("v"))
 
 
-def _water_sql(k: int, n: int) -> str:
+def _water_sql(k: int) -> str:
     """Step k from step k - 1: neighbours by joins on moved indices."""
-    h = f"(2.0::DOUBLE / {n})"
-    at = lambda name, i, j: f"JOIN s{k - 1} {name} ON {name}.i = (a.i + {i}) % {n} AND {name}.j = (a.j + {j}) % {n}"
-    return f"""s{k} AS (SELECT a.i, a.j, a.eta + (-(r.u * r.eta - l.u * l.eta) / {h} - (b.v * b.eta - t.v * t.eta) / {h}) / {n * 100} AS eta,
-    a.u - (r.eta - l.eta) / {h} / {n * 100} AS u, a.v - (b.eta - t.eta) / {h} / {n * 100} AS v
-    FROM s{k - 1} a {at('r', 0, 1)} {at('l', 0, n - 1)} {at('b', 1, 0)} {at('t', n - 1, 0)})"""
+    h = "(2.0::DOUBLE / a.n)"
+    at = lambda name, i, j: f"JOIN s{k - 1} {name} ON {name}.i = (a.i + {i}) % a.n AND {name}.j = (a.j + {j}) % a.n"
+    return f"""s{k} AS (SELECT a.n, a.i, a.j, a.eta + (-(r.u * r.eta - l.u * l.eta) / {h} - (b.v * b.eta - t.v * t.eta) / {h}) / (a.n * 100) AS eta,
+    a.u - (r.eta - l.eta) / {h} / (a.n * 100) AS u, a.v - (b.eta - t.eta) / {h} / (a.n * 100) AS v
+    FROM s{k - 1} a {at('r', 0, 1)} {at('l', 0, 'a.n - 1')} {at('b', 1, 0)} {at('t', 'a.n - 1', 0)})"""
 
 
-@query(
-    "WITH s0 AS (SELECT (id // 16)::INTEGER AS i, (id % 16)::INTEGER AS j, 0.1::DOUBLE * (id // 16) AS eta, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM range(256) t(id)), "
-    + ", ".join(_water_sql(k, 16) for k in (1, 2, 3))
-    + " SELECT i, j, round(eta, 9) + 0.0 AS eta, round(u, 9) + 0.0 AS u, round(v, 9) + 0.0 AS v FROM s3"
-)
+@query(f"WITH {WATER_SQL}, " + ", ".join(map(_water_sql, (1, 2, 3))) + " SELECT i, j, round(eta, 9) + 0.0 AS eta, round(u, 9) + 0.0 AS u, round(v, 9) + 0.0 AS v FROM s3")
 def shallow_water_run(spark, d):
-    run = T.states(T.still_water(spark, 16), lambda g: G.shallow_water_step(g, 16), every=100)
+    n = _water_side(spark, d)
+    run = T.states(T.still_water(spark, n), lambda g: G.shallow_water_step(g, n), every=100)
     for _ in range(3):
         next(run)
     return next(run).select("i", "j", *[r(c, 9).alias(c) for c in ("eta", "u", "v")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of image files; decoding is left to a batch function."""
+    """path and content of image files; operators.pictures decodes PNG files."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
@@ -90,8 +91,8 @@ def to_pandas(df: DataFrame):
     return df.toPandas()
 
 
-def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    df.write.mode("overwrite").format(kind).save(path)
+def save(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
+    df.write.mode("overwrite").format(kind).options(**options).save(path)
 
 
 def show_head(df: DataFrame, n: int = 5) -> None:
@@ -109,11 +110,24 @@ def states(first: DataFrame, step, every: int = 5) -> Iterator[DataFrame]:
             first = checkpointed(first)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, or in a local one where it is unset and Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="larkspan-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/larkspan-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder, which the cluster names in spark.checkpoint.dir; a local one where it names none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="larkspan-"))
+        context.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
 
 

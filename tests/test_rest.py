@@ -1,13 +1,19 @@
 """Registry, declarations, sources, workloads' golden values, streaming, plans."""
 
 import math
+import struct
+import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from larkspan.functions import declare as D
+from larkspan.functions import numeric as N
 from larkspan.functions import registry as X
+from larkspan.operators import aggregate as A
+from larkspan.operators import pictures as Q
 from larkspan.operators import select as P
 from larkspan.plans import catalogue
 from larkspan.plans import workloads as W
@@ -33,7 +39,7 @@ def test_registration_is_checked():
     f = X.splittable((X.ROWS,), schema="double")(lambda a, k=2: a * k)
     assert f.args == (X.ROWS, X.WHOLE) and f(3, 4) == 12
     with pytest.raises(TypeError):
-        f.column(F.lit(1) if False else 1)
+        f.column(F.lit(1), 2, 3)
 
 
 @pytest.mark.parametrize("parts", [1, 4, 17])
@@ -54,24 +60,24 @@ def test_results_do_not_depend_on_partitions(spark, parts):
 
 
 def test_kinds_of_arguments():
-    assert D.parse_kind("TestSplit()") == D.Kind("TestSplit")
-    assert D.parse_kind(" TestSplit ( a ,b ) ") == D.Kind("TestSplit", ("a", "b"))
-    assert D.parse_kind("broadcast").form == "broadcast" and D.parse_kind("S").form == "generic"
-    assert D.parse_param("   arg_name:    TestSplit(a)   ") == ("arg_name", D.Kind("TestSplit", ("a",)))
-    for bad in ("n:: TestSplit(a)", "n TestSplit(a)"):
+    assert D.parse_kind("Rows()") == D.Kind("Rows")
+    assert D.parse_kind(" Cells ( height ,width ) ") == D.Kind("Cells", ("height", "width"))
+    assert D.parse_kind("broadcast").form == "broadcast" and D.parse_kind("Q").form == "generic"
+    assert D.parse_param("   price:    Rows(count)   ") == ("price", D.Kind("Rows", ("count",)))
+    for bad in ("price:: Rows(count)", "price Rows(count)", "price: Rows(count", "price: rows"):
         with pytest.raises(ValueError):
             D.parse_param(bad)
 
 
-@pytest.mark.parametrize("text,want", [("int", "int"), ("int*", "int *"), ("const int", "const int"), ("int *", "int *"), ("struct myStruct", "struct myStruct"), ("const struct myStruct *", "const struct myStruct *"), ("int**", "int **")])
+@pytest.mark.parametrize("text,want", [("long", "long"), ("char*", "char *"), ("const float", "const float"), ("double  *", "double *"), ("struct body", "struct body"), ("const union cell *", "const union cell *"), ("long***", "long ***")])
 def test_c_types(text, want):
     assert D.parse_type(text) == want
 
 
 def test_declarations():
-    assert D.parse_declaration("int foo();") == D.Declaration("int", "foo", ())
-    d = D.parse_declaration("int foo(int, struct myStruct **arg2, float *);")
-    assert d.params == (("int", None), ("struct myStruct **", "arg2"), ("float *", None))
+    assert D.parse_declaration("long tick();") == D.Declaration("long", "tick", ())
+    d = D.parse_declaration("void move(float, struct body **bodies, long *);")
+    assert d.params == (("float", None), ("struct body **", "bodies"), ("long *", None))
     text = "@split (n: Size(), a: Rows(n), b: broadcast) -> Rows(n) default b: 1.5 { double *scale(long n, const double *a, double b); } // done"
     (a,) = D.parse(text)
     assert a.positions() == {"n": 0, "a": 1, "b": 2} and a.defaults == (("b", "1.5"),) and a.functions[0].name == "scale"
@@ -80,6 +86,97 @@ def test_declarations():
             D.parse(bad)
 
 
+SCALE = "@split (a: V, b: V, k: broadcast) -> V default k: 3 { double scaled_sum(const double *a, const double *b, double k); }"
+
+
+scaled_sum = lambda a, b, k: (a + b) * k  # noqa: E731  (a lambda, so that it goes to the workers by value)
+
+
+def test_declarations_register_functions(spark):
+    f = D.register(SCALE, {"scaled_sum": scaled_sum})["scaled_sum"]
+    assert f.args == (X.ROWS, X.ROWS, X.WHOLE) and f.schema == "double" and X.REGISTRY["scaled_sum"] is f
+    assert f(1, 2) == 9 and f(1, 2, k=1) == 3
+    df = spark.range(4).select(F.col("id").cast("double").alias("v"))
+    assert sorted(r[0] for r in df.select(f(F.col("v"), F.col("v"), 2.0)).collect()) == [0.0, 4.0, 8.0, 12.0]
+    assert D.meanings(D.parse(SCALE)[0], {"V": X.WHOLE}) == ((X.WHOLE, X.WHOLE, X.WHOLE), X.WHOLE)
+    with pytest.raises(ValueError):
+        D.register(SCALE, {})
+    with pytest.raises(ValueError):
+        D.register(SCALE.replace("a: V", "a: Unknown()"), {"scaled_sum": scaled_sum})
+    with pytest.raises(ValueError):
+        D.register(SCALE.replace("double scaled_sum", "struct pair scaled_sum"), {"scaled_sum": scaled_sum})
+
+
+def test_declarations_from_the_command_line(tmp_path, capsys, monkeypatch):
+    (tmp_path / "scale.txt").write_text(SCALE)
+    (tmp_path / "plain_sums.py").write_text("def scaled_sum(a, b, k):\n    return (a + b) * k\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert D.main([str(tmp_path / "scale.txt"), "-m", "plain_sums", "-p", "my_", "-o", str(tmp_path / "wrapped_sums.py"), "-d"]) == 0
+    assert "scaled_sum" in capsys.readouterr().err
+    import wrapped_sums
+
+    assert wrapped_sums.my_scaled_sum(1, 1) == 6
+    assert D.main([str(tmp_path / "scale.txt"), "-m", "plain_sums"]) == 0 and "DECLARATIONS" in capsys.readouterr().out
+    (tmp_path / "bad.txt").write_text("@split (a: V { }")
+    assert D.main([str(tmp_path / "bad.txt")]) == 1
+
+
+def test_erf_is_exact(spark):
+    values = [k / 37 for k in range(-260, 261)] + [0.46875, 4.0, -0.0, 30.0, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "x double").select("x", N.erf("x").alias("e")).collect()
+    assert all(r.e is None if r.x is None else math.isnan(r.e) if math.isnan(r.x) else abs(r.e - math.erf(r.x)) < 4e-16 for r in rows)
+
+
+def test_pictures():
+    rnd = np.random.default_rng(3)
+    grid = rnd.integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    content = Q.encode_png(grid)
+    assert (Q.decode_png(content) == grid).all()
+
+    def filtered(pixels, kinds):
+        """A file whose lines are filtered as kinds say, by the definition of each filter."""
+        h, w, c = pixels.shape
+        flat, lines = pixels.reshape(h, w * c).astype(int), b""
+        at = lambda y, x: int(flat[y, x]) if y >= 0 and x >= 0 else 0
+        for y, kind in enumerate(kinds):
+            line = []
+            for x in range(w * c):
+                a, b, d = at(y, x - c), at(y - 1, x), at(y - 1, x - c)
+                p = a + b - d
+                paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - d) else b if abs(p - b) <= abs(p - d) else d
+                line.append((at(y, x) - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+            lines += bytes([kind, *line])
+        part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)
+        return Q.SIGNATURE + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+    assert (Q.decode_png(filtered(grid, range(5))) == grid).all()
+    four = rnd.integers(0, 256, (5, 4, 4)).astype(np.uint8)
+    assert (Q.decode_png(filtered(four, (4, 3, 2, 1, 0))) == four[:, :, :3]).all()
+    assert (Q.decode_png(filtered(grid[:, :, :1], (1, 4, 3, 2, 0))) == grid[:, :, :1]).all()
+    for bad in (b"II*", content[:40] + b"x" + content[41:]):
+        with pytest.raises(ValueError):
+            Q.decode_png(bad)
+
+
+def test_partials_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(A, "FAN_IN", 3)
+    df = spark.range(500).select(F.col("id").cast("double").alias("l_extendedprice")).repartition(20)
+    assert catalogue.most_of.merge(df).collect() == [(499.0,)]
+
+
+def test_shared_folders_are_named_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        T.scratch(Cluster)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "m.dat").write_text("1::Toy Story (1995)::Animation|Comedy\n2::Jumanji::Adventure\n")
     rows = T.read_csv(spark, str(tmp_path / "m.dat"), "movie_id int, title string, genres string", sep="::").orderBy("movie_id").collect()
