@@ -27,7 +27,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_registration_is_checked():
+def test_registration_is_checked(spark):
     with pytest.raises(ValueError):
         X.splittable((X.ROWS,), schema="double")(lambda a, b: a)
     with pytest.raises(ValueError):
