@@ -91,14 +91,16 @@ def unpack(n: int, z: bytes) -> tuple[np.ndarray, np.ndarray]:
 ASKED = "kind int, bucket int, batch long, n long, z binary"
 
 
-def _ask(buckets: int, order: int):
-    """One row for each batch, order of n-gram and bucket that has any."""
+def _ask(buckets: int, orders: tuple[int, ...]):
+    """One row for each batch, order of n-gram (of the given ones) and bucket that has any."""
 
     def run(batches):
         edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
         for b in batches:
             for batch, sizes, n_bytes, z in zip(*(c.to_pylist() for c in b.columns)):
-                for kind, h in enumerate(grams(sizes, n_bytes, z, order)[1], 1):
+                hashes = grams(sizes, n_bytes, z, max(orders))[1]
+                for kind in orders:
+                    h = hashes[kind - 1]
                     h, times = np.unique(h[h > 0], return_counts=True)
                     cut = np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))  # equal ranges of hashes
                     rows = [(k, cut[k], cut[k + 1]) for k in np.flatnonzero(np.diff(cut)).tolist()]
@@ -129,9 +131,8 @@ def _answer(key, t):
 def _counts(h: np.ndarray, answers: list) -> np.ndarray:
     """The corpus's count of each n-gram of a batch; 0 where the hash is 0."""
     parts = [np.ascontiguousarray(np.frombuffer(pa.Codec("zstd").decompress(a["z"], decompressed_size=8 * a["n"], asbytes=True), np.uint8).reshape(8, a["n"]).T).view("<u8").ravel() for a in sorted(answers, key=lambda a: a["bucket"])]
-    known = np.unique(h[h > 0])
-    out = np.zeros(len(h))
-    out[h > 0] = np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.float64)[np.searchsorted(known, h[h > 0])]
+    out, there = np.zeros(len(h)), h > 0
+    out[there] = np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.float64)[np.unique(h[there], return_inverse=True)[1]]
     return out
 
 
@@ -176,8 +177,12 @@ def score(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> DataFram
     packed = table(spread(docs.select(doc_key().alias("did"), "text")).mapInArrow(_batch, BATCHES), "batches")
     total = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(16, math.ceil(total / BUCKET))
-    asked = packed.select("batch", "bytes", "n_bytes", "z").mapInArrow(_ask(buckets, order), ASKED)
-    answers = table(asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS), "answers")
+    answers = None
+    # one after the other, so that the n-grams of one pass only are on disk
+    for orders in [(1, 2)[:order], *((n,) for n in range(3, order + 1))]:
+        asked = packed.select("batch", "bytes", "n_bytes", "z").mapInArrow(_ask(buckets, orders), ASKED)
+        some = table(asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS), "answers")
+        answers = some if answers is None else answers.unionByName(some)
     gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "n", "z")).alias("answers"))
     joined = packed.join(gathered, "batch", "left").select("dids", "bytes", "n_bytes", "z", "answers")
     out = joined.mapInArrow(_score(total, order, cutoff), "did long, n_words long, backed_off long, seen_once long, log_score double")

@@ -94,6 +94,17 @@ def rivals(kinds: DataFrame, most: int) -> DataFrame:
     return found.groupBy("did", "tk").agg(F.collect_list("block").alias("blocks"))
 
 
+#: Texts that a Python worker holds unpacked, with what is made of them.
+AT_ONCE = 1000
+
+
+def sliced(batches):
+    """The batches in pieces of at most AT_ONCE rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def mask_runs(hit: np.ndarray) -> list[tuple[int, int]]:
     """(start, length) of the runs of True."""
     edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))

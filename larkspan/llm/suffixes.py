@@ -81,11 +81,14 @@ def blocks(data: np.ndarray, window: int, gram: int):
         yield g[at[first]], at[first] + base, first + base, count
 
 
-def _describe(window: int, gram: int):
+def _describe(window: int, gram: int, packed: bool):
+    """Blocks of texts: did, tk, text or, packed, did, tk, n_bytes, z."""
+
     def run(batches):
-        for b in batches:
+        for b in R.sliced(batches):
             out: list = [[], [], [], [], []]
-            for did, tk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
+            texts = (unpack(z, n) for n, z in zip(b.column(2).to_pylist(), b.column(3).to_pylist())) if packed else as_bytes(b.column(2))
+            for did, tk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts):
                 if len(text) < window:
                     continue
                 for anchor, _, first, count in blocks(np.frombuffer(text, np.uint8), window, gram):
@@ -104,7 +107,7 @@ def _pack(window: int, gram: int):
     """The asked-for blocks of a document; those with a hot anchor as two hashes (lead and anchor) of each window."""
 
     def run(batches):
-        for b in batches:
+        for b in R.sliced(batches):
             out: list = [[] for _ in range(8)]
             for did, tk, n, z, asked in zip(*(c.to_pylist() for c in b.columns)):
                 text = unpack(z, n)
@@ -200,9 +203,9 @@ def _sort(window: int):
     return run
 
 
-def repeated_windows(texts: DataFrame, packed_text: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """did, tk, at, n: runs of windows whose bytes also start elsewhere. texts: did, tk, text; packed_text: the same as of packed_texts()."""
-    shared = R.shared_blocks(texts.mapInArrow(_describe(window, gram), R.META))
+def repeated_windows(packed_text: DataFrame, plain: DataFrame | None, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """did, tk, at, n: runs of windows whose bytes also start elsewhere. packed_text: as of packed_texts(); plain: the same as of keyed(), where that is read from its source."""
+    shared = R.shared_blocks((packed_text if plain is None else plain).mapInArrow(_describe(window, gram, plain is None), R.META))
     kinds = R.classes(shared)
     copies = R.with_class(shared, kinds.where("n > 1")).select("did", "tk", F.expr(R.AT), F.expr(R.COUNT))
     packed = table(packed_text.join(R.rivals(kinds, RIVALS), ["did", "tk"]).select("did", "tk", "n_bytes", "z", "blocks").mapInArrow(_pack(window, gram), PACKED), "packed")
@@ -222,7 +225,7 @@ def _mark(window: int):
     """Bytes covered by the hits of each text, and the longest run of them."""
 
     def run(batches):
-        for b in batches:
+        for b in R.sliced(batches):
             n_bytes, starts, counts = (b.column(k).to_pylist() for k in (2, 4, 5))
             gone, longest = [], []
             for n, s, c in zip(n_bytes, starts, counts):
@@ -234,18 +237,12 @@ def _mark(window: int):
     return run
 
 
-def _unpacked(batches):
-    for b in batches:
-        texts = [unpack(z, n).decode() for n, z in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.large_string()).cast(pa.string())], names=["did", "tk", "text"])
-
-
 CUT = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
 
 
 def _cut(window: int):
     def run(batches):
-        for b in batches:
+        for b in R.sliced(batches):
             n_bytes, z, starts, counts = (b.column(k).to_pylist() for k in (1, 2, 4, 5))
             gone, spans, digest = [], [], []
             for n, packed, s, c in zip(n_bytes, z, starts, counts):
@@ -279,11 +276,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, short:
     for the longer ones; the matches of these are among them too.
     """
     gram, packed = min(gram, short), packed_texts(docs)
-    brief = repeated_windows(keyed(docs), packed, short, gram)
+    brief = repeated_windows(packed, keyed(docs), short, gram)
     marked = table(packed.join(R.gathered(brief), ["did", "tk"], "left").select("did", "tk", "n_bytes", "z", "starts", "counts").mapInArrow(_mark(short), MARKED), "marked")
     drop(brief)
     some = marked.where(F.col("longest") >= window).select("did", "tk", "n_bytes", "z")
-    hits = R.gathered(repeated_windows(some.mapInArrow(_unpacked, "did long, tk long, text string"), some, window, gram))
+    hits = R.gathered(repeated_windows(some, None, window, gram))
     long = marked.where(F.col("longest") >= window).join(hits, ["did", "tk"], "left")
     rest = marked.where(F.col("longest") < window).withColumns({"starts": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<int>")})
     columns = ["did", "n_bytes", "z", "n_repeated", "starts", "counts"]

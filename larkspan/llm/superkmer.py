@@ -43,7 +43,7 @@ def word_ends(words: list[bytes]) -> np.ndarray:
 
 def _describe(window: int, gram: int):
     def run(batches):
-        for b in batches:
+        for b in R.sliced(batches):
             out: list = [[], [], [], [], []]
             for did, tk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 words = text.split()
@@ -68,7 +68,7 @@ def _pack(window: int):
     """Packed strings of the blocks that a document was asked for; those with a hot anchor window by window."""
 
     def run(batches):
-        for b in batches:
+        for b in R.sliced(batches):
             out: list = [[] for _ in range(6)]
             for did, tk, n, z, asked in zip(*(c.to_pylist() for c in b.columns)):
                 words = unpack(z, n).split()
@@ -136,7 +136,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
 def _cut(window: int):
     def run(batches):
-        for b in batches:
+        for b in R.sliced(batches):
             did, n_bytes, z, starts, counts = (c.to_pylist() for c in b.columns)
             words_in, gone, digest = [], [], []
             for n, packed, s, c in zip(n_bytes, z, starts, counts):
