@@ -41,8 +41,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Row groups of written tables are small, since a task holds one in memory while it writes.
 WRITTEN = {"compression": "zstd", "parquet.block.size": 16 << 20}
-#: Has Spark drop a query's shuffle files when the query ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark drops the query's shuffle files when it ends, and Python workers get texts in batches that stay small outside the heap.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -56,12 +56,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
     if 2 * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
         spark.sparkContext._jvm.System.gc()
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.options(**WRITTEN).parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._larkspan_path = path
     return out

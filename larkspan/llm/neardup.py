@@ -234,8 +234,10 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radiu
     nodes = table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     sketched = nodes.select(F.col("node").alias("head"), "keys", "sketch")
     # the keys alone find what is alike, so links of prints that the sketches rule out can go
-    prints = links(nodes.select("fp", F.col("node").alias("head")), radius)
-    prints = distances(prints.select(F.col("head").alias("low"), F.col("other").alias("head")), sketched).where(F.col("bin") < gap(least, n))
+    heads = table(nodes.groupBy("fp").agg(F.min("node").alias("head")), "prints")
+    ends = links(heads, radius).select(F.col("head").alias("low"), F.col("other").alias("head"))
+    ends = ends.unionByName(nodes.select("fp", "node").join(heads.withColumnRenamed("head", "low"), "fp").where("node <> low").select("low", F.col("node").alias("head")))
+    prints = distances(ends, sketched).where(F.col("bin") < gap(least, n))
     met = prints.select(F.col("low").alias("head"), F.col("head").alias("other")).unionByName(band_links(sketched, gap(least, n)))
     near = table(connected_components(met, "head", "other").select("node", "root"), "candidates")
     sizes = table(near.groupBy("root").agg(F.count("*").alias("m")), "sizes")

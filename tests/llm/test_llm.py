@@ -362,6 +362,52 @@ def test_planted_passages_are_found_in_both_ways(spark):
     assert rows_of(templates.contaminated(docs, bench, sent_bytes=0)) == a
 
 
+def test_reparameterised_items_against_brute_force(spark):
+    rnd = np.random.default_rng(41)
+    names, plain = ["Anna", "Peter", "Mary", "John", "Lucy", "Mark", "Jane", "Paul"], [f"w{k}" for k in range(400)]
+
+    def item():
+        who, n = rnd.permutation(names)[:2], rnd.permutation(90)[:2] + 10
+        slots = {0: who[0], 4: str(n[0]), 7: who[1], 10: str(n[1]), 13: who[0], 16: str(n[0])}
+        return [slots.get(k, plain[int(rnd.integers(400))]) for k in range(20)]
+
+    def changed(words, consistent):
+        """Other names and numbers, one for one or each time another."""
+        out, known = [], {}
+        for w in words:
+            if w in names or w.isdigit():
+                pool = [x for x in names if x not in known.values()] if w in names else [str(x) for x in range(100, 190) if str(x) not in known.values()]
+                new = pool[int(rnd.integers(len(pool)))]
+                w = known.setdefault(w, new) if consistent else known.setdefault((w, len(out)), new)
+            out.append(w)
+        return out
+
+    items = [item() for _ in range(60)]
+    rows = [(3 * k + j, "so we ask " + " ".join(t) + " and that is all") for k, w in enumerate(items) for j, t in enumerate((w, changed(w, True), changed(w, False)))]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in templates.contaminated(corpus.frame(spark, rows), bench).collect()}
+
+    def brute_match(words, want):
+        """Whether some place of the document has the item's words, and at least half of its windows, in turn, a one-to-one map of slots."""
+        is_slot = lambda w: w in names or w.isdigit()
+        for at in range(len(words) - len(want) + 1):
+            here = words[at : at + len(want)]
+            if all(x == y or (is_slot(x) and is_slot(y) and x.isdigit() == y.isdigit()) for x, y in zip(here, want)):
+                there, back, held = {}, {}, 0
+                for s in range(len(want) - 7):
+                    t, b = dict(there), dict(back)
+                    if all(t.setdefault(y, x) == x and b.setdefault(x, y) == y for x, y in zip(here[s : s + 8], want[s : s + 8]) if is_slot(y)):
+                        there, back, held = t, b, held + 1
+                if 2 * held >= len(want) - 7:
+                    return True
+        return False
+
+    want = {(i, k) for i, t in rows for k, w in enumerate(items) if brute_match(t.split(), w)}
+    assert set(got) == want and {(3 * k + j, k) for k in range(60) for j in (0, 1)} <= want
+    assert all(got[3 * k + j, k] == sum(x != y for x, y in zip(rows[3 * k + j][1].split()[3:23], items[k])) for k in range(60) for j in (0, 1))
+    assert len(want) < 170
+
+
 # Mixing
 
 
@@ -546,6 +592,32 @@ def test_token_files(spark, monkeypatch, tokenizer_path):
     assert tokens.round_trip(corpus.empty(spark), tokenizer_path, 1).count() == 0
 
 
+def test_ids_of_random_texts(tokenizer_path):
+    from tokenizers import Tokenizer
+
+    rnd = np.random.default_rng(77)
+    pool = [*"abcXYZ019'(),.;!?-_ \n\t", "\u0130", "\u0131", "\u00df", "\u03a3", "\u03c2", "\u00e9", "e\u0301", "\u0301", "\u1e9e", "\u01c4", "\ufb01", "\u212b", "\u4e2d", "\u3002", "\u0915", "\u093f", "\ud55c", "\u1112\u1161", "'s", "'ll", "\u00a0", "\u0085", "\u2003", "\u00b2", "\u2163", "\U0001f600", "\u200d", "\x00", "<|", "|>", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(pool, int(rnd.integers(1, 25)))) for _ in range(6000)]
+    texts += [f"x\u0130{c} \u0130{c}{c}y" for c in tokens.PUNCTUATION.decode()]
+    want = Tokenizer.from_file(tokenizer_path).encode_batch(texts, add_special_tokens=False)
+    got = tokens.encode_texts([t.encode() for t in texts], tokenizer_path, 1)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids + [1] for e in want]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path, tokenizer_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rules = json.load(open(tokenizer_path, encoding="utf-8"))
+    rules["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    path = str(tmp_path / "other.json")
+    texts = ["Some TEXT, with Case.", "", "x  y"]
+    assert tokens.coder(path)[1] is None and tokens.coder(tokenizer_path)[1] is not None
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode_texts([t.encode() for t in texts], path, 1)] == [e.ids + [1] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_blocks_decode_alone_and_notice_damage():
     rnd = np.random.default_rng(9)
     ids = np.concatenate([rnd.zipf(1.3, 20_000) % 5000, [70_000, 1]])
@@ -595,3 +667,72 @@ def test_quality_of_awkward_rows(spark):
     assert quality.classify(corpus.empty(spark), labels).count() == 0
     alone = quality.select(docs, labels.where("doc_id < 0"))
     assert alone.columns == docs.columns and alone.count() == len(corpus.texts()) - 3
+
+
+def test_grades_equal_a_plain_model(spark):
+    rnd = np.random.default_rng(5)
+    vocabulary = {0: ["bad", "vile"], 1: ["meh", "dull"], 2: ["good", "fine"]}
+    rows = [(k, " ".join([*rnd.choice(vocabulary[k % 3], 3), *(f"w{x}" for x in rnd.integers(0, 50, 20))])) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 2), int(k % 3 == 0)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    docs = corpus.frame(spark, rows)
+    model = quality.fit(quality.sample(docs, labels))
+    assert (model.w != 0).any() and model.t[0] < model.t[1]
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    for k, text in rows:
+        at, value = quality.features(text.encode(), {})
+        score = sum(float(np.float32(model.w[a])) * v for a, v in zip(at, value))
+        tail = [1 / (1 + np.exp(t - score)) for t in model.t]
+        assert got[k].expected_grade == pytest.approx(sum(tail), abs=1e-4) and got[k].kept == (tail[1] >= 0.5) == (k % 3 == 2)
+
+
+def test_the_fit_is_an_optimum(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(np.array([k % 3, 7]), np.array([1.0, rnd.random()], np.float32), int(k % 3 if rnd.random() < 0.8 else rnd.integers(3))) for k in range(400)]
+    model = quality.fit(rows, ridge=0.1)
+    y = np.array([g for _, _, g in rows])
+    weight = (1 / (np.bincount(y) / len(y))[y]) ** quality.EVEN
+    weight /= weight.mean()
+
+    def loss(w, t):
+        x = np.array([sum(w[a] * v for a, v in zip(at, value)) for at, value, _ in rows])
+        below = np.stack([np.zeros(len(x)), *[1 / (1 + np.exp(-(c - x))) for c in t], np.ones(len(x))])
+        chance = below[y + 1, np.arange(len(x))] - below[y, np.arange(len(x))]
+        return -(weight * np.log(chance)).mean() + 0.05 * (w @ w)
+
+    best, used = loss(model.w, model.t), np.flatnonzero(model.w)
+    for step in (1e-2, -1e-2):
+        for k in used:
+            w = model.w.copy()
+            w[k] += step
+            assert loss(w, model.t) >= best - 1e-7
+        for k in range(2):
+            t = model.t.copy()
+            t[k] += step
+            assert loss(model.w, t) >= best - 1e-7
+
+
+# Long texts
+
+
+def test_texts_of_over_a_megabyte(spark, tokenizer_path):
+    from tokenizers import Tokenizer
+
+    rnd = np.random.default_rng(9)
+    item = "how many green apples does the tall farmer carry home"
+    long = " ".join(f"w{x}" for x in rnd.zipf(1.3, 300_000) % 5000)
+    rows = [(1, long + " " + item), (2, long + " " + item), (3, "short text " * 30), (4, None)]
+    assert len(long) > 1 << 20
+    docs = corpus.frame(spark, rows)
+    prints = {r.doc_id: r for r in simhash.components(docs).collect()}
+    assert prints[1].fingerprint == prints[2].fingerprint == f"{brute.print_of(rows[0][1]):016x}" and prints[2].component_id == 1
+    scores = {r.doc_id: r for r in ngrams.score(docs).collect()}
+    assert scores[1].n_words == 300_010 and scores[1].log_score == scores[2].log_score and scores[1].seen_once == 0
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert rows_of(templates.contaminated(docs, bench), "doc_id", "item_id") == [(1, 9), (2, 9)]
+    ids = Tokenizer.from_file(tokenizer_path).encode(rows[0][1], add_special_tokens=False).ids + [1]
+    out = {r.doc_id: r for r in tokens.round_trip(docs, tokenizer_path, 1).collect()}
+    assert out[1].n_tokens == len(ids) and out[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and out[2].start == len(ids) + 1
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(docs, labels).count() == 4
+    assert rows_of(superkmer.deduplicate(docs), "doc_id", "n_words")[0] == (1, 300_010)
+    assert {r.doc_id for r in neardup.deduplicate(docs).collect()} == {1, 3, 4}
