@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,12 +50,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the lineage ends there and survives lost executors.
 
     The shuffle files of the write go when it ends. A driver whose heap is over
-    half full collects its garbage first: plans of hundreds of small writes add
-    up where little memory is given to it.
+    a quarter full collects its garbage first: plans of hundreds of small
+    writes, which Python's objects keep alive, add up where it has little memory.
     """
     spark = df.sparkSession
     heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
-    if 2 * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
+    if 4 * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
+        gc.collect()
         spark.sparkContext._jvm.System.gc()
     path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in WHILE_WRITING}
     for k, v in WHILE_WRITING.items():
