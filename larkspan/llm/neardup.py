@@ -115,11 +115,11 @@ def _met(rows: DataFrame) -> DataFrame:
     thousands of near copies need not meet in one; the others are joined by shuffle.
     """
     first = table(rows.groupBy("key").agg(F.min("head").alias("low"), F.count("*").alias("n")).where("n > 1"), "bands")
-    # a key that no node has keeps the plan's form the same with and without large keys
-    none = rows.sparkSession.range(1).select(F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("low"))
-    hot = table(first.where(F.col("n") > HOT).select("key", "low").unionByName(none).withColumn("hot", F.lit(True)), "hot")
+    # one row that is not hot keeps the plan's form the same with and without large keys
+    none = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("low"), F.lit(False).alias("hot"))
+    hot = table(first.where(F.col("n") > HOT).select("key", "low", F.lit(True).alias("hot")).unionByName(none), "hot")
     tagged = rows.join(sent_if_small(hot), "key", "left")
-    rest = tagged.where("hot IS NULL").select("head", "key").join(first.where(F.col("n") <= HOT).select("key", "low"), "key")
+    rest = tagged.where("hot IS NULL OR NOT hot").select("head", "key").join(first.where(F.col("n") <= HOT).select("key", "low"), "key")
     found = table(tagged.where("hot").select("key", "low", "head").unionByName(rest.select("key", "low", "head")), "met")
     drop(first, hot)
     return found
@@ -148,7 +148,7 @@ def band_links(nodes: DataFrame, apart: int) -> DataFrame:
         # at most 1 / BIN + 1 bins a key
         reach = F.aggregate(F.sort_array(F.collect_set("bin")), F.lit(0), lambda upto, b: F.when(b - upto < apart, b).otherwise(upto))
         cuts = binned.groupBy("key").agg(reach.alias("upto"), F.max("bin").alias("last")).where("last > upto").select("key", "upto")
-        none = binned.sparkSession.range(1).select(F.lit(None).cast("long").alias("key"), F.lit(0).alias("upto"))  # as in _met
+        none = binned.sparkSession.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(None).cast("int").alias("upto"))  # as in _met
         cuts = table(cuts.unionByName(none), "cuts")
         done.append(cuts)
         parted = binned.join(sent_if_small(cuts), "key", "left")
