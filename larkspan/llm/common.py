@@ -57,6 +57,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
     if 4 * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
         gc.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # else events that wait to be told hold metrics of thousands of tasks
         spark.sparkContext._jvm.System.gc()
     path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in WHILE_WRITING}
     for k, v in WHILE_WRITING.items():
@@ -159,7 +160,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         last, e = e, table(small.where("u <> v").distinct(), "edges")

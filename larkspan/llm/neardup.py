@@ -31,7 +31,7 @@ CHUNK = 256
 #: Minima in a band's key, and the odds at which a pair of exactly the wanted similarity may share no key.
 MINIMA, MISSED = 5, 1e-9
 #: Minima, of a byte each, in a text's sketch; standard deviations that an estimate of it may be off; rounds that part the texts of a key.
-SKETCH, SIGMAS, ROUNDS = 160, 5.0, 3
+SKETCH, SIGMAS, ROUNDS = 160, 5.0, 2
 #: Width of the bins of estimated distances.
 BIN = 0.05
 
