@@ -42,8 +42,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Row groups of written tables are small, since a task holds one in memory while it writes.
 WRITTEN = {"compression": "zstd", "parquet.block.size": 16 << 20}
-#: While a table is written: Spark drops the query's shuffle files when it ends, and Python workers get texts in batches that stay small outside the heap.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: While a table is written: Spark drops the query's shuffle files when it ends, and Python workers get texts in batches that stay small outside the heap, however long the texts are.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
