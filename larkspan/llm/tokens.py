@@ -41,8 +41,8 @@ BLOCK = 1 << 19
 MAGIC = b"LKR1"
 HEAD = "<4sIQIII"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words, and parts of words, whose ids a worker keeps.
-KEPT, KEPT_PARTS = 400_000, 800_000
+#: Words, and parts of words, whose ids a worker keeps, and their bytes at most; longer ones are encoded each time.
+KEPT, KEPT_PARTS, KEPT_BYTES = 1_000_000, 1_000_000, 64
 
 
 # The rules of a tokenizer file under which the ids of a text are those of its words in turn.
@@ -117,6 +117,10 @@ def _encode_parts(parts: list[bytes], tokenizer, ends: np.ndarray) -> dict[bytes
     return out
 
 
+def _keep(kept: dict, new: dict[bytes, bytes], most: int) -> None:
+    kept.update(islice(((w, ids) for w, ids in new.items() if len(w) <= KEPT_BYTES), max(0, most - len(kept))))
+
+
 def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """Ids of each whole text and the end id, as unsigned 32-bit integers.
 
@@ -144,8 +148,8 @@ def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
         for k in hs:
             f[k] = pieces[ws[k]]
         f.append(end)
-    cores.update(islice(here.items(), max(0, KEPT_PARTS - len(cores))))
-    known.update(islice(pieces.items(), max(0, KEPT - len(known))))
+    _keep(cores, here, KEPT_PARTS)
+    _keep(known, pieces, KEPT)
     return list(map(b"".join, found))
 
 
