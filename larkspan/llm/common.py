@@ -151,22 +151,44 @@ def group_bounds(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(change), n)
 
 
+#: Neighbours beyond which the edges of a node do not meet in one task.
+HUB = 512
+
+
+def with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """u, v, m (the smallest v of u) of each edge (u, v); and u, m, n (how many edges) of each u.
+
+    Smallest neighbours are added up before they travel. Edges of a node with
+    over HUB neighbours get theirs from a table that goes to every task and are
+    dealt by the whole edge. That table has the SENT_ROWS nodes with the most
+    neighbours, so any other node has less than one in SENT_ROWS of all edges.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    # one row that is no hub keeps the plan's form the same with and without hubs
+    none = edges.sparkSession.range(0, 1, 1, 1).select(F.lit(-1).cast("long").alias("u"), F.lit(None).cast("long").alias("hub_m"))
+    hubs = low.where(F.col("n") > HUB).orderBy(F.desc("n"), "u").limit(SENT_ROWS).select("u", F.col("m").alias("hub_m"))
+    tagged = edges.join(F.broadcast(hubs.unionByName(none)), "u", "left")
+    dealt = tagged.withColumn("k", F.when(F.col("hub_m").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v")))
+    met = dealt.join(low.select(F.col("u").alias("k"), "m"), "k", "left")
+    return met.select("u", "v", F.coalesce("hub_m", "m").alias("m")), low
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """node, root (smallest node reachable) of every node that an edge touches.
 
     Alternates large-star and small-star steps; each is one aggregation and one
-    join on the node, so no component is ever gathered in one place. Stops when
-    the edge set, compared by count and XOR of hashes, no longer changes.
+    join on the node, so no component is ever gathered in one place, nor are a
+    hub's edges (see with_least). Stops when the edge set, compared by count and
+    XOR of hashes, no longer changes.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = table(e, "edges")
     seen = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        large = with_least(both)[0].select(F.col("v").alias("x"), F.least("u", "m").alias("y"), "u").where("x > u AND x <> y").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        met, low = with_least(large)
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         last, e = e, table(small.where("u <> v").distinct(), "edges")
         drop(last)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())

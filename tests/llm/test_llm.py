@@ -166,10 +166,33 @@ def test_overfull_buckets_are_dealt_again(spark, monkeypatch):
         assert brute.components(len(u), [(r.head, r.other) for r in found]) == want
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize(("hub", "sent"), [(512, 50_000), (2, 50_000), (2, 3)])
+def test_components_of_paths_and_stars(spark, monkeypatch, hub, sent):
+    monkeypatch.setattr(common, "HUB", hub)
+    monkeypatch.setattr(common, "SENT_ROWS", sent)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (201, 200)]
+    # stars whose middle is the smallest, in between or the largest node, two of them joined; -1 and the smallest long among the nodes
+    edges += [(-1, -i) for i in range(2, 20)] + [(300, 301 + i) for i in range(30)] + [(350, 320 + i) for i in range(20)] + [(430, 410 + i) for i in range(40) if i != 20] + [(common.NO_ID, 500 + i) for i in range(9)]
+    want = {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 200: 200, 201: 200, **{-i: -19 for i in range(1, 20)}, **{i: 300 for i in range(300, 340)}, 350: 300}
+    want |= {i: 410 for i in range(410, 450)} | {i: common.NO_ID for i in [common.NO_ID, *range(500, 509)]}
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 200: 200, 201: 200}
+    assert got == want
+
+
+def test_edges_of_a_hub_are_spread(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        star = spark.range(1, 4001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+        out = common.with_least(star.unionByName(star.select(F.col("v").alias("u"), F.lit(0).cast("long").alias("v"))))[0]
+        rows = out.groupBy((F.col("u") == 0).alias("hub"), F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.min("m").alias("lo"), F.max("m").alias("hi")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all((r.lo, r.hi) == ((1, 1) if r.hub else (0, 0)) for r in rows)
+    assert sum(r.n for r in rows if r.hub) == 4000 and max(r.n for r in rows if r.hub) < 700
 
 
 # Repeats
