@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -68,6 +69,13 @@ def test_mask_and_modulus(spark):
     assert column(spark, [-3.0, 3.0], lambda x: N.modulus(x.cast("int"), 5)) == [2, 3]
 
 
+def test_rounded_as_duckdb(spark):
+    values = [*ODD, 0.5e-6, -1.5e-6, 1.0000005, 2.5000015, 123456789.1234565, 1e300, -1e305, 4503599627.3704965]
+    want = [None if v is None else duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    got = column(spark, values, lambda x: N.rounded(x, 6))
+    assert [repr(None if v is None else v + 0.0) for v in got] == [repr(None if v is None else v + 0.0) for v in want]
+
+
 TEXTS = ["The", "the", "THE", "A b", "Hello, World", "", None, "a.c", "abc", "Éa", "x1Y"]
 
 

@@ -92,6 +92,18 @@ def test_pairs_in_blocks(spark):
         assert got == {(a, b, float(b - a)) for a in range(7) for b in range(7) if a != b}
 
 
+def test_pairs_of_scattered_ids_in_many_tasks(spark):
+    ids = [0, -7, 10**15, 3, 10**15 + 1, None, 2**62, 12, 10**9, 3]
+    df = spark.createDataFrame([(i, float(k)) for k, i in enumerate(ids)], "id long, v double").coalesce(1)
+    want = sorted((a, b, x, y) for x, a in enumerate(ids) for y, b in enumerate(ids) if a is not None and b is not None and a != b)
+    for block in (2, 100):
+        got = J.pairs(df, "id", ["v"], block)
+        assert sorted((r.ida, r.idb, r.a_v, r.b_v) for r in got.collect()) == want
+    assert J.pairs(df.where("false"), "id", ["v"]).collect() == []
+    many = J.pairs(spark.range(200).coalesce(1).withColumn("v", F.lit(1.0)), "id", ["v"], 20)
+    assert many.rdd.getNumPartitions() > 4 and "Broadcast" not in plan(many) and many.count() == 200 * 199
+
+
 def test_top_and_order(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], float(i // 3)) for i in range(20)], "id long, k string, v double")
     top = K.group_top(df, ["k"], "v", 3, ["id"])
