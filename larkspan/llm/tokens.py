@@ -44,6 +44,11 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words, and parts of words, whose ids a worker keeps, and their bytes at most; longer ones are encoded each time.
 KEPT, KEPT_PARTS, KEPT_BYTES = 1_000_000, 1_000_000, 64
 
+#: Texts encoded at once; their words are objects of over ten times their bytes.
+TEXTS = 256
+#: The key of packed words; no word is a string.
+PACKED = "packed"
+
 
 # The rules of a tokenizer file under which the ids of a text are those of its words in turn.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -80,9 +85,27 @@ def coder(path: str):
             ends = np.zeros(tokenizer.get_vocab_size(), bool)
             ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         kept[path] = tokenizer, ends, {}, {}
+    for known in kept[path][2:]:
+        if PACKED in known:
+            words, ids, stops = known.pop(PACKED)
+            stops = stops.tolist()
+            known.update(zip(words.split(b" "), map(ids.__getitem__, map(slice, [0, *stops], stops))))
     return kept[path]
 
 
+def rest() -> None:
+    """Packs what this worker keeps, some 200 MB of small objects, to a tenth until it encodes again: later stages need the memory."""
+    module = sys.modules.get("_larkspan_tokens")
+    for kept in [x for x in vars(module).values() if isinstance(x, tuple)] if module else []:
+        for words in kept[2:]:
+            words.pop(b"", None)  # its ids are none
+            if words and PACKED not in words:
+                packed = b" ".join(words), b"".join(words.values()), np.cumsum([len(x) for x in words.values()])
+                words.clear()
+                words[PACKED] = packed
+    pa.default_memory_pool().release_unused()
+
+
 def parted(word: bytes) -> tuple[bytes, bytes]:
     """A word and the ASCII punctuation at its end, where the tokenizer parts them too: after a letter or digit.
 
@@ -165,8 +188,8 @@ def _tokenize(path: str, end_id: int):
         names = [c.split()[0] for c in CODED.split(", ")]
         total = np.zeros(0, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
                 gc.disable()  # millions of small objects, none in a cycle
                 try:
                     ids = encode_texts([t or b"" for t in as_bytes(part.column(1))], path, end_id)
@@ -198,6 +221,7 @@ def _ids(z: bytes, n: int, width: int) -> np.ndarray:
 
 
 def _histogram(batches):
+    rest()
     total = np.zeros(0, np.int64)
     for b in batches:
         for n, z in zip(*(c.to_pylist() for c in b.columns)):
@@ -304,6 +328,7 @@ BLOCKS = "part int, seq long, n_ids long, block binary"
 
 def _write(freq: Frequencies):
     def run(batches):
+        rest()
         part, seq = TaskContext.get().partitionId(), 0
         parts, dids, lengths, size = [], [], [], 0
 
@@ -340,6 +365,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[DataFrame,
 
 def _read(freq: Frequencies):
     def run(batches):
+        rest()
         slots = freq.slots()
         for b in batches:
             for part, seq, block in zip(*(c.to_pylist() for c in b.columns)):

@@ -641,6 +641,21 @@ def test_other_tokenizers_encode_whole_texts(tmp_path, tokenizer_path):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode_texts([t.encode() for t in texts], path, 1)] == [e.ids + [1] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_worker_packs_its_words_after_encoding(tokenizer_path):
+    texts = [" ".join(f"word{k} Other{k}, caf\u00e9{k}! <|x{k}" for k in range(2000)).encode(), b"", b"plain"]
+    want = tokens.encode_texts(texts, tokenizer_path, 1)
+    kept = tokens.coder(tokenizer_path)[2:]
+    before = [dict(k) for k in kept]
+    assert all(len(k) > 1000 for k in kept)
+    list(tokens._histogram(iter([])))
+    assert all(set(k) == {tokens.PACKED} for k in kept)
+    tokens.rest()
+    tokens.coder(tokenizer_path)
+    assert [{w: x for w, x in k.items() if w} for k in kept] == [{w: x for w, x in k.items() if w} for k in before]
+    tokens.rest()
+    assert tokens.encode_texts(texts, tokenizer_path, 1) == want
+
+
 def test_blocks_decode_alone_and_notice_damage():
     rnd = np.random.default_rng(9)
     ids = np.concatenate([rnd.zipf(1.3, 20_000) % 5000, [70_000, 1]])
