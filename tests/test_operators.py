@@ -104,6 +104,12 @@ def test_pairs_of_scattered_ids_in_many_tasks(spark):
     assert many.rdd.getNumPartitions() > 4 and "Broadcast" not in plan(many) and many.count() == 200 * 199
 
 
+def test_pairs_of_equal_values_meet_in_runs(spark):
+    df = spark.range(240).selectExpr("id", "double(id % 4) AS v").repartition(3)
+    got = [(r.a_v, r.b_v) for r in J.pairs(df, "id", ["v"], 60).collect()]
+    assert len(got) == 240 * 239 and sum(x != y for x, y in zip(got, got[1:])) < len(got) / 20
+
+
 def test_top_and_order(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], float(i // 3)) for i in range(20)], "id long, k string, v double")
     top = K.group_top(df, ["k"], "v", 3, ["id"])
